@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import gif_media, secret_scan
+from . import gif_media, mixing, reply_trees, resharding, secret_scan
+from .common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +17,27 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.text_media(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op7_gif_media)}
+def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    messages = written(reply_trees.chain(table.unionByName(probe), "conv_id", "turn", "role", "text"))
+    out = reply_trees.digest(reply_trees.segments(messages, reply_trees.branches(messages)))
+    return out.select(F.expr("cast(nullif(tree, '') as long)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resharding.assignment(_table(spark, sf_dir, "documents"), shards=40, old_shards=32)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_mixing, op7_gif_media, op9_reply_trees, op10_resharding)}
 ORACLES: dict[str, str] = {}
