@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,12 @@ def delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that nothing refers to any more, before a long job makes its own."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Written:
     """A DataFrame written to the shared folder as Parquet: it cuts lineage and survives lost executors."""
 
