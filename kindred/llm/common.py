@@ -90,7 +90,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,40 +111,46 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
 
 #: Whole texts are hashed a block at a time, so that the arrays made on the way stay small.
 BLOCK_BYTES = 4 << 20
+#: Every ASCII character that is neither letter nor digit, as a gap between words.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def word_hashes(texts: list[bytes], lower: bool = False, salt: int = 0) -> list[np.ndarray]:
-    """For each text (UTF-8) the 64-bit hashes of its words, the runs without ASCII white space, in order."""
+def word_hashes(texts: list[bytes], lower: bool = False, gaps: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """For each text (UTF-8) the 64-bit hashes of its words, in order: the runs without ASCII white space, or without the
+    bytes that ``gaps`` marks. With ``prefixes``, each of these many first bytes of longer words follow, as further terms."""
     out: list[np.ndarray] = []
     block, held = [], 0
     for t in texts:
         if block and held + len(t) > BLOCK_BYTES:
-            out += _word_hashes(block, lower, salt)
+            out += _word_hashes(block, lower, gaps, prefixes)
             block, held = [], 0
         block.append(t)
         held += len(t) + 1
-    return out + (_word_hashes(block, lower, salt) if block else [])
+    return out + (_word_hashes(block, lower, gaps, prefixes) if block else [])
 
 
-def _word_hashes(texts: list[bytes], lower: bool, salt: int) -> list[np.ndarray]:
+def _word_hashes(texts: list[bytes], lower: bool, gaps: np.ndarray, prefixes: tuple[int, ...]) -> list[np.ndarray]:
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    gap = _SPACE[raw]
+    gap = gaps[raw]
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     edge = edge if gap[0] else np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         return [np.empty(0, np.uint64)] * len(texts)
     # Each byte takes a mixed value times a power of its place in the word; a word's hash is their mixed sum.
-    place = np.arange(len(raw), dtype=np.int64)
     lengths = ends - starts
-    inside = np.repeat(starts, lengths)
-    chars = (_LOWER[raw] if lower else raw)[~gap]
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MIX_B) + np.uint64(salt))[chars]
-    values *= _power("up", BYTE_BASE, int(lengths.max()) + 1)[place[~gap] - inside]
-    sums = np.add.reduceat(values, np.concatenate(([0], np.cumsum(lengths)[:-1])))
-    hashed = mix(sums + lengths.astype(np.uint64) * np.uint64(MIX_A))
-    return np.split(hashed, np.searchsorted(starts, bounds[:-1]))
+    place = np.flatnonzero(~gap) - np.repeat(starts, lengths)
+    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MIX_B))[(_LOWER[raw] if lower else raw)[~gap]]
+    values *= _power("up", BYTE_BASE, int(lengths.max()) + 1)[place]
+    heads = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    cuts = np.searchsorted(starts, bounds[:-1])
+    found = np.split(mix(np.add.reduceat(values, heads) + lengths.astype(np.uint64) * np.uint64(MIX_A)), cuts)
+    for n in prefixes:
+        longer = lengths > n
+        part = mix(np.add.reduceat(np.where(place < n, values, np.uint64(0)), heads)[longer] + np.uint64(n) * np.uint64(MIX_B))
+        found = [np.concatenate(x) for x in zip(found, np.split(part, np.searchsorted(starts[longer], bounds[:-1])))]
+    return found
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

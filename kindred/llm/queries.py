@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif_media, mixing, packing, reply_trees, resharding, secret_scan, substring_dedup
+from . import gif_media, mixing, packing, reply_trees, resharding, secret_scan, substring_dedup, toxicity
 from .common import written
 
 
@@ -17,6 +17,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_mixing, op4_substring_dedup, op6_best_fit_packing, op7_gif_media, op9_reply_trees, op10_resharding)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_mixing, op4_substring_dedup, op6_best_fit_packing, op7_gif_media, op9_reply_trees, op10_resharding)}
 ORACLES: dict[str, str] = {}
