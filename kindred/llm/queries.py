@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif_media, mixing, packing, reply_trees, resharding, secret_scan, substring_dedup, toxicity
+from . import gif_media, mixing, packing, reply_trees, resharding, secret_scan, spot_signatures, substring_dedup, toxicity
 from .common import written
 
 
@@ -37,6 +37,10 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.text_media(_table(spark, sf_dir, "documents"))
 
 
+def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -51,5 +55,5 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_mixing, op4_substring_dedup, op6_best_fit_packing, op7_gif_media, op9_reply_trees, op10_resharding)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_mixing, op4_substring_dedup, op6_best_fit_packing, op7_gif_media, op8_spot_signatures, op9_reply_trees, op10_resharding)}
 ORACLES: dict[str, str] = {}
