@@ -14,6 +14,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,24 +70,28 @@ def branches(messages: DataFrame, top: int | None = None) -> DataFrame:
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     state = keep(nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), "score"))
     most, jumps = math.ceil(math.log2(max(2, state.count()))) + 1, []
-    first = state
-    while not state.filter("up is not null").isEmpty():
+    first, finished, open_ = state, [state.filter("up is null")], state.filter("up is not null")
+    while not open_.isEmpty():
         if len(jumps) > most:
             raise ValueError("the replies form a cycle")
-        jumps.append(state.filter("up is not null").select("tree", "node", "up"))
+        jumps.append(open_.select("tree", "node", "up"))
+        state = reduce(DataFrame.unionByName, [*finished, open_])
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        joined = state.join(above, ["tree", "up"], "left")
-        state = keep(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")))
+        further = open_.join(above, ["tree", "up"])  # messages that have come to their root take no further part
+        reached = keep(further.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("score") + F.col("score2")).alias("score")))
+        finished.append(reached.filter("up is null"))
+        open_ = reached.filter("up is not null")
+    state = reduce(DataFrame.unionByName, finished)
     parents = first.filter("up is not null").select("tree", F.col("up").alias("node"))
     leaves = state.join(parents, ["tree", "node"], "left_anti").select("tree", "node", "depth", "score")
     if top is not None:
         best = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
         leaves = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-    members = leaves.select("tree", F.col("node").alias("leaf"), "node", (F.col("depth") - 1).alias("place"))
+    members = [keep(leaves.select("tree", F.col("node").alias("leaf"), "node", (F.col("depth") - 1).alias("place")))]
     for k, jump in enumerate(jumps):  # after k rounds every ancestor less than 2^k above is there, once
-        higher = members.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"))
-        members = keep(members.unionByName(higher))
-    return members
+        below = reduce(DataFrame.unionByName, members)
+        members.append(keep(below.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"))))
+    return reduce(DataFrame.unionByName, members)
 
 
 def segments(messages: DataFrame, paths: DataFrame) -> DataFrame:
