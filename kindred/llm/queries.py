@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif_media, mixing, packing, reply_trees, resharding, secret_scan, spot_signatures, substring_dedup, toxicity
+from . import gif_media, jaccard_join, mixing, packing, reply_trees, resharding, secret_scan, spot_signatures, substring_dedup, toxicity
 from .common import written
 
 
@@ -29,6 +29,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_mixing, op4_substring_dedup, op6_best_fit_packing, op7_gif_media, op8_spot_signatures, op9_reply_trees, op10_resharding)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_mixing, op4_substring_dedup, op5_jaccard_join, op6_best_fit_packing, op7_gif_media, op8_spot_signatures, op9_reply_trees, op10_resharding)}
 ORACLES: dict[str, str] = {}
