@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -47,8 +48,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files that nothing refers to any more, before a long job makes its own."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round frees the driver's handles, the second what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 class Written:
@@ -110,7 +113,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
 
 
 #: Whole texts are hashed a block at a time, so that the arrays made on the way stay small.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Every ASCII character that is neither letter nor digit, as a gap between words.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 

@@ -17,233 +17,225 @@ are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WINDOW_BASE, Written, mix, release, window_hashes, word_hashes
+from .common import WINDOW_BASE, Written, mix, release, window_hashes, word_hashes, written
 
 LENGTH = 13
 #: Text bytes for each bucket of hashes; a bucket is one group of one task.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 32 << 20
 
-ENTRIES = "bucket int, settled boolean, docs binary, hashes binary, later binary"
-ANSWERS = "doc_id long, shared binary, later binary"
+ENTRIES = "bucket int, settled boolean, docs binary, tags binary, low binary, high binary, hashes binary, marks binary"
+#: An entry's marks: another document of its task shares it; a smaller one has it.
+SHARED, LATER = 1, 2
 
 
-def anchors(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``length`` words the place of its half with the smallest hash; and the hashes of all halves."""
+def anchors(words: np.ndarray, length: int) -> np.ndarray:
+    """For each window of ``length`` words the place of its half with the smallest hash."""
     half = (length + 1) // 2
     h = window_hashes(words, half)
     n = len(words) - length + 1
     if n <= 0:
-        return np.empty(0, np.int64), h
+        return np.empty(0, np.int64)
     best, place = h[:n].copy(), np.zeros(n, np.int64)
     for k in range(1, length - half + 1):
         less = h[k : k + n] < best
         best[less] = h[k : k + n][less]
         place[less] = k
-    return place + np.arange(n), h
+    return place + np.arange(n)
 
 
-def doubled(words: np.ndarray, length: int, times: int) -> np.ndarray:
-    """Hashes of the windows of ``length`` * 2^``times`` words, made from those of half the length."""
-    h = window_hashes(words, length)
-    for _ in range(times):
-        n = max(0, len(h) - length)
-        h = mix(h[:n] * np.uint64(WINDOW_BASE) + mix(h[length : length + n]))
-        length *= 2
-    return h
-
-
-def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of ``values`` are in ``known``, sorted."""
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+def twice(places: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of twice the length whose halves are both among these, sorted by place."""
+    n = int(places[-1]) + 1 if len(places) else 0
+    at = np.full(n + length, -1)
+    at[places] = np.arange(len(places))
+    other = at[places + length] if n else at
+    both = other >= 0
+    return places[both], mix(hashes[both] * np.uint64(WINDOW_BASE) + mix(hashes[other[both]]))
 
 
 def _unpack(raw, kind) -> np.ndarray:
     return np.frombuffer(raw.as_buffer(), kind) if raw.is_valid else np.empty(0, kind)
 
 
-def _gathered(column) -> np.ndarray:
-    """Sorted hashes of a cell that lists packed arrays."""
-    parts = [_unpack(x, np.uint64) for x in column.values] if column.is_valid and column.values is not None else []
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+def _gathered(cell, kind) -> np.ndarray:
+    """The packed arrays that a cell lists, as one."""
+    parts = [_unpack(x, kind) for x in cell.values] if cell.is_valid and len(cell.values) else []
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Which rows begin a run of equal ones."""
+    first = np.ones(len(sorted_columns[0]), bool)
+    first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
+    return first
+
 
+def _judged(docs: np.ndarray, hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Marks of entries sorted by hash and document: what the documents of a run say of each other is added."""
+    first = _starts(hashes)
+    run = np.cumsum(first) - 1
+    late = docs > docs[np.flatnonzero(first)][run]
+    shared = np.bincount(run, late | (marks & SHARED > 0), minlength=1) > 0
+    return marks | np.where(shared[run], SHARED, 0).astype(np.uint8) | np.where(late, LATER, 0).astype(np.uint8)
 
-def _by_doc(docs: np.ndarray, hashes: np.ndarray, later: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(docs, kind="stable")
-    docs, hashes, later = docs[order], hashes[order], later[order]
-    ids, first = np.unique(docs, return_index=True)
-    cut = np.append(first, len(docs))
-    shared = [hashes[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-    after = [hashes[a:b][later[a:b]].tobytes() for a, b in zip(cut, cut[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shared, pa.binary()), pa.array(after, pa.binary())], ["doc_id", "shared", "later"])
 
+def _split(keys: list[np.ndarray], columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[list[bytes]]]:
+    """Sorted distinct keys, and each column's packed rows of each key."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    first = np.flatnonzero(_starts(*keys))
+    cut = np.append(first, len(order)).tolist()
+    return [k[first] for k in keys], [[c[a:b].tobytes() for a, b in zip(cut, cut[1:])] for c in (c[order] for c in columns)]
 
-def exchange(hashed: DataFrame, buckets: int) -> DataFrame:
-    """``hashed`` (doc_id, hashes: packed distinct) answered: which hashes of a document others share too, and which of
-    these a document with a smaller id has. A row for each document and bucket with such hashes."""
+
+def exchange(rows: DataFrame, of: Callable[[pa.RecordBatch], Iterator[tuple]], buckets: int, with_hashes: bool = False) -> DataFrame:
+    """The windows that ``of`` makes of a batch of ``rows`` as (doc_id, tag, places, hashes), of which those stay that another
+    document has too; ``later`` says which of these a document with a smaller id has. A row for each document and bucket."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                h = _unpack(raw, np.uint64)
-                held.append((doc, h))
-                size += len(h)
-                if size >= 1 << 21:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                made = [x for x in of(whole.slice(at, 200)) if len(x[2])]
+                held += made
+                size += sum(len(x[2]) for x in made)
+                if size >= 1 << 18:
                     yield from dealt(held)
                     held, size = [], 0
         if held:
             yield from dealt(held)
 
-    def dealt(held) -> Iterator[pa.RecordBatch]:
-        docs = np.repeat(np.array([d for d, _ in held], np.int64), [len(h) for _, h in held])
-        hashes = np.concatenate([h for _, h in held])
-        order = np.lexsort((docs, hashes))
-        docs, hashes = docs[order], hashes[order]
-        first = np.ones(len(hashes), bool)
-        first[1:] = hashes[1:] != hashes[:-1]
-        smallest = docs[np.maximum.accumulate(np.where(first, np.arange(len(docs)), 0))]
-        # Rows that repeat an id are one document.
-        again = np.zeros(len(hashes), bool)
-        again[1:] = ~first[1:] & (docs[1:] == docs[:-1])
-        late = docs > smallest
-        group = np.cumsum(first) - 1
-        several = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
-        several[group[late]] = True
-        sent, here = first, several[group] & ~again if len(group) else first
-        for settled, chosen in ((False, sent), (True, here)):
-            d, h, z = docs[chosen], hashes[chosen], late[chosen]
-            bucket = (h >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.lexsort((d, bucket))
-            d, h, z, bucket = d[order], h[order], z[order], bucket[order]
-            ids, start = np.unique(bucket, return_index=True)
-            cut = np.append(start, len(bucket))
-            rows = [pa.array(ids, pa.int32()), pa.array([settled] * len(ids))]
-            rows += [pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x in (d, h, z)]
-            yield pa.RecordBatch.from_arrays(rows, ["bucket", "settled", "docs", "hashes", "later"])
+    def dealt(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(x[2]) for x in held]
+        docs, tags = (np.repeat(np.array([x[k] for x in held], np.int64), sizes) for k in (0, 1))
+        places = np.concatenate([x[2] for x in held]).astype(np.uint32)
+        hashes = np.concatenate([x[3] for x in held])
+        order = np.lexsort((places, tags, docs, hashes))
+        order = order[_starts(hashes[order], docs[order], tags[order], places[order])]  # repeated rows count once
+        docs, tags, places, hashes = (c[order] for c in (docs, tags, places, hashes))
+        marks = _judged(docs, hashes, np.zeros(len(docs), np.uint8))
+        settled = marks & LATER > 0
+        for done in (False, True):
+            own = np.flatnonzero(settled == done)
+            own = own[np.lexsort((places[own], tags[own], docs[own]))]  # in this order all but the hashes compress well
+            bucket = (hashes[own] >> np.uint64(40)).astype(np.int64) % buckets
+            (ids,), packed = _split([bucket], [docs[own], tags[own], places[own].astype(np.uint16), (places[own] >> 16).astype(np.uint16), hashes[own], marks[own]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([done] * len(ids), pa.bool_()), *(pa.array(x, pa.binary()) for x in packed)], ["bucket", "settled", "docs", "tags", "low", "high", "hashes", "marks"])
 
     def answer(table: pa.Table) -> pa.Table:
-        columns = [[_unpack(x, kind) for x in table.column(name)] for name, kind in (("docs", np.int64), ("hashes", np.uint64), ("later", np.bool_))]
-        settled = np.repeat(table.column("settled").to_numpy(), [len(x) for x in columns[0]])
-        docs, hashes, later = map(np.concatenate, columns)
-        d, h = docs[~settled], hashes[~settled]
-        order = np.lexsort((d, h))
-        d, h = d[order], h[order]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        start = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
-        late = d > d[start][group]
-        several = np.zeros(len(start), bool)
-        several[group[late]] = True
-        chosen = several[group]
-        docs, hashes, later = (np.concatenate(x) for x in ((docs[settled], d[chosen]), (hashes[settled], h[chosen]), (later[settled], late[chosen])))
-        return pa.Table.from_batches([_by_doc(docs, hashes, later)])
-
-    return hashed.mapInArrow(deal, ENTRIES).groupBy("bucket").applyInArrow(answer, ANSWERS)
-
-
-def _hashed(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """``rows`` (doc_id, text[, shared]) as packed distinct hashes, ``of`` a document's word hashes and shared hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                words = word_hashes([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(1)])
-                known = [_gathered(x) for x in b.column(2)] if b.num_columns > 2 else [None] * len(words)
-                found = [np.unique(of(w, k)) for w, k in zip(words, known)]
-                keep = [i for i, h in enumerate(found) if len(h)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["doc_id", "hashes"])
-
-    return rows.mapInArrow(run, "doc_id long, hashes binary")
-
-
-def repeated(docs: DataFrame, length: int = LENGTH, longest: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, later, longest): the packed hashes of a document's windows of ``length`` that start in a document with a
-    smaller id too, and the longest doubled length at which a window of it repeats in another document."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+        docs, tags, low, high, hashes, marks = (np.concatenate([_unpack(x, kind) for x in table.column(name)]) for name, kind in (("docs", np.int64), ("tags", np.int64), ("low", np.uint16), ("high", np.uint16), ("hashes", np.uint64), ("marks", np.uint8)))
+        places = low | high.astype(np.uint32) << 16
+        settled = np.repeat(table.column("settled").to_numpy(), [len(_unpack(x, np.uint8)) for x in table.column("marks")])
+        open_ = np.flatnonzero(~settled)
+        open_ = open_[np.lexsort((docs[open_], hashes[open_]))]
+        marks = marks.copy()
+        marks[open_] = _judged(docs[open_], hashes[open_], marks[open_])
+        shared = marks & SHARED > 0
+        keys, packed = _split([docs[shared], tags[shared]], [places[shared], marks[shared] & LATER > 0] + [hashes[shared]] * with_hashes)
+        return pa.table([*(pa.array(k, pa.int64()) for k in keys), *(pa.array(x, pa.binary()) for x in packed)], ["doc_id", "tag", *columns])
+
+    columns = ["places", "later"] + ["hashes"] * with_hashes
+    found = rows.mapInArrow(deal, ENTRIES).groupBy("bucket").applyInArrow(answer, "doc_id long, tag long, " + ", ".join(f"{c} binary" for c in columns))
+    return found.groupBy("doc_id", "tag").agg(*(F.collect_list(c).alias(c) for c in columns))
+
+
+def repeated(source: DataFrame, length: int = LENGTH, longest: bool = False) -> DataFrame:
+    """``source`` (from :func:`rows_of`) to (doc_id, tag, places, later, longest): lists of packed places of the windows of ``length`` that another document has too,
+    whether one with a smaller id has, and the longest doubled length at which a window still repeats in another document."""
+    spark = source.sparkSession
+    source = source.filter("doc_id is not null")
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(64, size // BUCKET_BYTES)
-
-    def halves(words, _):
-        places, h = anchors(words, length)
-        return h[np.unique(places)]
-
-    def full(words, known):
-        places, h = anchors(words, length)
-        return window_hashes(words, length)[member(h[places], known)] if len(places) else np.empty(0, np.uint64)
-
-    def gathered(answers: DataFrame) -> DataFrame:
-        return answers.groupBy("doc_id").agg(F.collect_list("shared").alias("shared"), F.collect_list("later").alias("later"))
-
-    first = Written(gathered(exchange(_hashed(source, halves), buckets)).select("doc_id", "shared"))
+    buckets = max(12, size // BUCKET_BYTES)
+
+    def halves(b: pa.RecordBatch):
+        for doc, tag, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_hashes([_raw(t) for t in b.column(2)])):
+            places = np.unique(anchors(words, length))
+            yield doc, tag, places, window_hashes(words, (length + 1) // 2)[places]
+
+    def full(b: pa.RecordBatch):
+        for i, (doc, tag, words) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_hashes([_raw(t) for t in b.column(2)]))):
+            around = anchors(words, length)
+            known = np.zeros(len(words) + 1, bool)
+            known[_gathered(b.column(3)[i], np.uint32)] = True
+            places = np.flatnonzero(known[around])
+            yield doc, tag, places, window_hashes(words, length)[places]
+
+    def longer(times: int):
+        def of(b: pa.RecordBatch):
+            for i, (doc, tag) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                places, hashes = _gathered(b.column(2)[i], np.uint32), _gathered(b.column(3)[i], np.uint64)
+                places, first = np.unique(places, return_index=True)
+                yield doc, tag, *twice(places.astype(np.int64), hashes[first], length << times)
+
+        return of
+
+    first = Written(exchange(source, halves, buckets).select("doc_id", "tag", "places"))
     release(spark)
-    found = Written(gathered(exchange(_hashed(source.join(first.df, "doc_id"), full), buckets)))
+    found = Written(exchange(source.join(first.df, ["doc_id", "tag"]), full, buckets, longest))
     first.drop()
     release(spark)
-    out = found.df.select("doc_id", "later", F.lit(length).alias("longest"))
-    if not longest:
-        return out
-    rows, level, times = Written(source.join(found.df.select("doc_id"), "doc_id", "left_semi")), found, 0
-    while not level.df.isEmpty():
-        if times:
-            out = out.join(level.df.select("doc_id", F.lit(length << times).alias("more")), "doc_id", "left").select("doc_id", "later", F.coalesce("more", "longest").alias("longest"))
+    out = found.df.select("doc_id", "tag", "places", "later", F.lit(length).alias("longest"))
+    level, times, reached = found, 0, []
+    while longest and not level.df.isEmpty():
+        next_ = Written(exchange(level.df.select("doc_id", "tag", "places", "hashes"), longer(times), buckets, True).select("doc_id", "tag", "places", "hashes"))
         times += 1
+        reached.append(Written(next_.df.select("doc_id", "tag", F.lit(length << times).alias("longest"))).df)
+        if level is not found:
+            level.drop()
+        level = next_
+        release(spark)
+    if reached:
+        most = reduce(DataFrame.unionByName, [found.df.select("doc_id", "tag", F.lit(length).alias("longest")), *reached]).groupBy("doc_id", "tag").agg(F.max("longest").alias("longest"))
+        out = out.drop("longest").join(most, ["doc_id", "tag"])
+    return out
 
-        def twice(words, known, k=times):
-            shorter = doubled(words, length, k - 1)
-            step = length << (k - 1)
-            on = member(shorter, known)
-            n = max(0, len(on) - step)
-            return doubled(words, length, k)[on[:n] & on[step : step + n]]
 
-        level = Written(gathered(exchange(_hashed(rows.df.join(level.df.select("doc_id", "shared"), "doc_id"), twice), buckets)).select("doc_id", "shared"))
-        release(spark)
-    return Written(out).df
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, tag and text: the tag is 0, or for ids that repeat a hash of the text, which tells their rows apart."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("again"))
+    marked = rows.join(written(again), "doc_id", "left")
+    return marked.select("doc_id", F.when(F.col("again"), F.xxhash64("text")).otherwise(0).alias("tag"), "text")
+
+
+def _raw(text) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, longest: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, longest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept, longest): what is left of each text without the words that a window covers whose
     words start in a document with a smaller id too; kept words are joined by one space."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = source.join(repeated(docs, length, longest, id_col, text_col), "doc_id", "left").select("doc_id", "text", "later", "longest")
+    source = rows_of(docs, id_col, text_col)
+    joined = source.join(repeated(source, length, longest), ["doc_id", "tag"], "left").select("doc_id", "text", "places", "later", "longest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                raw = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(1)]
-                later = [_gathered(x) for x in b.column(2)]
-                some = [i for i, x in enumerate(later) if len(x)]
-                hashes = dict(zip(some, word_hashes([raw[i] for i in some])))
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
                 n, gone, kept = [], [], []
-                for i, t in enumerate(raw):
-                    words = t.split()
+                for i, text in enumerate(b.column(1)):
+                    words = _raw(text).split()
                     n.append(len(words))
-                    if i in hashes:
-                        starts = np.flatnonzero(member(window_hashes(hashes[i], length), later[i]))
+                    starts = _gathered(b.column(2)[i], np.uint32)[_gathered(b.column(3)[i], np.bool_)].astype(np.int64)
+                    if len(starts):
                         edge = np.zeros(len(words) + 1, np.int32)
-                        edge[starts] += 1
+                        np.add.at(edge, starts, 1)
                         np.subtract.at(edge, starts + length, 1)
-                        stay = np.cumsum(edge[:-1]) == 0
-                        words = [w for w, s in zip(words, stay.tolist()) if s]
+                        words = [w for w, s in zip(words, (np.cumsum(edge[:-1]) == 0).tolist()) if s]
                     gone.append(n[-1] - len(words))
                     kept.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), b.column(3)], ["doc_id", "n_words", "n_removed", "kept", "longest"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), b.column(4)], ["doc_id", "n_words", "n_removed", "kept", "longest"])
 
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, longest int")
 
 
 def digest(deduped: DataFrame) -> DataFrame:
-    return deduped.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.coalesce("longest", F.lit(0)).alias("longest"))
+    return deduped.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
