@@ -2,8 +2,9 @@
 each, whose products weigh pairs: an insult next to a mention of a group may count though neither does alone.
 
 Terms are the words of a text (lower case, between ASCII characters that are neither letters nor digits) and the
-first 4, 5 and 6 bytes of longer ones, hashed; a text has or lacks a term. The machine is fitted on the driver on a bounded sample of labelled rows
-(``sample``); all rows are scored, whole.
+first 4 to 9 bytes of longer ones, hashed; a text has or lacks a term. The machine is fitted on a bounded sample of labelled
+rows (``sample``): its terms are counted on the executors, and the driver fits those that tell the labels apart. All
+rows are scored, whole.
 
 Null texts count as empty and get the score of a text without known terms; a label without its document, a null label
 and a null id teach nothing; without labels of both kinds the score is the smoothed rate; repeated rows are scored
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, word_hashes
+from .common import NOT_ALNUM, word_hashes, written
 
 TERM_BITS = 26
-PREFIXES = (4, 5, 6)
-SAMPLE = 20_000
+PREFIXES = (4, 5, 6, 7, 8, 9)
+SAMPLE, VOCABULARY = 20_000, 4096
 
 
 def terms(texts: list[bytes]) -> list[np.ndarray]:
@@ -57,30 +58,26 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(found: list[np.ndarray], labels: np.ndarray, vocabulary: int = 4096, factors: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, batch: int = 256, seed: int = 42) -> Machine:
-    """The machine for these rows of distinct terms; the ``vocabulary`` terms whose presence differs most surely between
-    the labels are kept. Adagrad on the logistic loss."""
+def telling(counts: DataFrame, positive: int, negative: int, vocabulary: int = VOCABULARY) -> np.ndarray:
+    """The sorted terms of ``counts`` (term, pos, all) whose presence differs most surely between the labels."""
+    p = F.col("all") / (positive + negative)
+    gap = F.abs(F.col("pos") / positive - (F.col("all") - F.col("pos")) / negative)
+    z = gap / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / positive + 1 / negative))
+    rows = counts.filter("`all` >= 3").withColumn("z", z).filter("z > 3").orderBy(F.desc("z"), "term").limit(vocabulary).select("term").collect()
+    return np.array(sorted(r.term for r in rows), np.int32)
+
+
+def fit(known: np.ndarray, found: list[np.ndarray], labels: np.ndarray, factors: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, batch: int = 256, seed: int = 42) -> Machine:
+    """The machine over the terms ``known`` for rows that have the terms ``found`` (places in ``known``). Adagrad on the
+    logistic loss; without labels of both kinds, the smoothed rate alone."""
     y = labels.astype(np.float32)
     n1 = float(y.sum())
     n0 = len(y) - n1
     if not n1 or not n0:
-        rate_ = min(max(n1 / (len(y) + 1), 1e-6), 1 - 1e-6)
-        return Machine(np.empty(0, np.int32), float(np.log(rate_ / (1 - rate_))), np.empty(0), np.empty((0, factors)))
-    every, row = np.concatenate(found), np.repeat(np.arange(len(y)), [len(t) for t in found])
-    names, index = np.unique(every, return_inverse=True)
-    pos = np.bincount(index, y[row], len(names))
-    neg = np.bincount(index, minlength=len(names)) - pos
-    p = (pos + neg) / len(y)
-    z = np.abs(pos / n1 - neg / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    likely = np.flatnonzero((pos + neg >= 3) & (z > 3))
-    chosen = np.sort(likely[np.argsort(-z[likely], kind="stable")[:vocabulary]])
-    slot = np.full(len(names), -1)
-    slot[chosen] = np.arange(len(chosen))
-    at = slot[index]
-    row, at = row[at >= 0], at[at >= 0]
-    cut = np.searchsorted(row, np.arange(len(y) + 1))
+        base = min(max(n1 / (len(y) + 1), 1e-6), 1 - 1e-6)
+        return Machine(np.empty(0, np.int32), float(np.log(base / (1 - base))), np.empty(0), np.empty((0, factors)))
+    k = len(known)
     draw = np.random.default_rng(seed)
-    k = len(chosen)
     bias, w, v = float(np.log(n1 / n0)), np.zeros(k, np.float32), draw.normal(0, 0.01, (k, factors)).astype(np.float32)
     gw, gv, gb = np.full(k, 1e-2, np.float32), np.full((k, factors), 1e-2, np.float32), 1e-2
     for _ in range(epochs):
@@ -89,7 +86,7 @@ def fit(found: list[np.ndarray], labels: np.ndarray, vocabulary: int = 4096, fac
             rows = order[first : first + batch]
             x = np.zeros((len(rows), k), np.float32)
             for i, r in enumerate(rows):
-                x[i, at[cut[r] : cut[r + 1]]] = 1
+                x[i, found[r]] = 1
             mass = x @ v
             score = bias + x @ w + 0.5 * (mass**2 - x @ v**2).sum(1)
             slope = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[rows]) / len(rows)
@@ -102,7 +99,7 @@ def fit(found: list[np.ndarray], labels: np.ndarray, vocabulary: int = 4096, fac
             w -= rate * dw / np.sqrt(gw)
             v -= rate * dv / np.sqrt(gv)
             bias -= rate * float(slope.sum()) / gb**0.5
-    return Machine(names[chosen], bias, w.astype(np.float64), v.astype(np.float64))
+    return Machine(known, bias, w.astype(np.float64), v.astype(np.float64))
 
 
 def held_out(id_col: str, folds: int = 5):
@@ -110,20 +107,39 @@ def held_out(id_col: str, folds: int = 5):
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Machine:
     """A machine from at most ``sample`` labelled rows, drawn by a seeded hash of the id among those not held out."""
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     drawn = rows.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64("k", F.lit(seed)), "k", "y").limit(sample)
     texts = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [t.tobytes() for t in terms([x.as_buffer().to_pybytes() for x in b.column(1)])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["y", "terms"])
 
-    found = texts.join(F.broadcast(drawn), "k").select("y", "t").mapInArrow(run, "y int, terms binary").collect()  # at most ``sample`` labels
-    found.sort(key=lambda r: (r.y, bytes(r.terms)))
-    return fit([np.frombuffer(bytes(r.terms), np.int32) for r in found], np.array([r.y for r in found], np.float32), seed=seed, **options)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y, found = b.column(0).to_numpy(), [np.frombuffer(t.as_buffer(), np.int32) for t in b.column(1)]
+            names, index = np.unique(np.concatenate(found), return_inverse=True)
+            pos = np.bincount(index, np.repeat(y, [len(t) for t in found]), len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(pos.astype(np.int64)), pa.array(np.bincount(index, minlength=len(names)))], ["term", "pos", "all"])
+
+    sampled = written(texts.join(F.broadcast(drawn), "k").select("y", "t").mapInArrow(describe, "y int, terms binary"))  # at most ``sample`` labels
+    both = {r.y: r.n for r in sampled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not (both.get(0) and both.get(1)):
+        return fit(np.empty(0, np.int32), [], np.repeat([0, 1], [both.get(0, 0), both.get(1, 0)]), seed=seed)
+    counts = sampled.mapInArrow(count, "term int, pos long, `all` long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("all").alias("all"))
+    known = telling(counts, both[1], both[0], vocabulary)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.searchsorted(known, np.intersect1d(known, np.frombuffer(t.as_buffer(), np.int32), assume_unique=True)).astype(np.int16).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["y", "places"])
+
+    rows = sampled.mapInArrow(place, "y int, places binary").collect()  # at most ``sample`` rows of at most ``vocabulary`` places
+    rows.sort(key=lambda r: (r.y, bytes(r.places)))
+    return fit(known, [np.frombuffer(bytes(r.places), np.int16) for r in rows], np.array([r.y for r in rows], np.float32), seed=seed, **options)
 
 
 def score(docs: DataFrame, machine: Machine, out: str = "score", text_col: str = "text") -> DataFrame:
