@@ -1,12 +1,15 @@
 """N-gram Jaccard join with token-combination prefixes. Documents are sets of word n-grams; equal sets are one class.
 
-1. Each class names its first tokens in hash order, one more than a partner may lack; a class that shares none of
-   these has no partner. The others' whole sets are kept.
+A set of n tokens and its partner differ in at most E = n (1 - t) / t tokens, and at most A = n (1 - t) of the set's are
+missing in the partner. Of the set's first A + (k - 1) E + k tokens in an order that all sets share, A may be missing,
+and each difference breaks at most k - 1 of the runs of k neighbours that are left: partners share one of these runs.
+
+1. Each class names combinations of k neighbours in hash order; a class that shares none has no partner. The others'
+   whole sets are kept.
 2. Among these tokens are counted. Tokens are ordered by count: those of one class alone, then rare, then frequent ones.
-3. Of each class the prefix is indexed. Rare tokens count singly. Where too few are rare, the prefix is extended with
-   frequent ones, indexed as combinations of two neighbours in the order. With n tokens, a partner differs in at most
-   E = n (1 - t) / t of them; r rare ones missing leave E - r, and 2 (E - r) + 2 frequent ones have more gaps between
-   common neighbours than differences can fill, so that partners share a neighbouring pair.
+3. Of each class the prefix is indexed: A + 1 tokens if so many are rare, singly. Where too few are, r of them, the
+   prefix is extended with A + E - 2 r + 2 frequent ones, indexed as combinations of two neighbours: if all of the
+   rare ones are missing, so few differences are left that the above holds for these.
 4. Classes that share an indexed key are verified exactly. In a small group, first all against one, then those of
    different components against each other. A large group is dealt out in blocks, each pair of blocks compared by
    products of incidence matrices; only a spanning forest of its links leaves the task.
@@ -35,6 +38,8 @@ RARE, FREQUENT = 64, 1 << 18
 #: Groups of more classes than this are compared by blocks of so many classes and tokens at most.
 SMALL, BLOCK_CLASSES, BLOCK_TOKENS = 32, 4096, 4_000_000
 BUCKET_BYTES = 32 << 20
+#: Sets of so many tokens or more name combinations of three where partners are alike enough, smaller ones of two.
+THREES = 32
 
 
 def token_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -60,15 +65,37 @@ def differing(n, num: int, den: int):
     return n * (den - num) // num
 
 
+def combined(tokens: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` neighbours."""
+    out = tokens
+    for i in range(1, k):
+        out = mix(out[:-1] * np.uint64(2 * i + 1) + mix(tokens[i:]))
+    return out
+
+
+def first_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Combinations that a set, in hash order, and any partner share. Where sets of three neighbours are used, those that
+    may have a smaller partner without them name pairs too."""
+    n = len(tokens)
+    lack, differ = lacking(n, num, den), differing(n, num, den)
+    threes = 100 * num >= 85 * den
+    found = []
+    if not threes or n * num < THREES * den:
+        found.append(combined(tokens[: lack + differ + 2], 2))
+    if threes and n >= THREES:
+        found.append(combined(tokens[: lack + 2 * differ + 3], 3) + np.uint64(1))
+    return np.unique(np.concatenate(found))
+
+
 def keys_of(n: int, lone: int, rare: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
     """The index keys of a class: ``lone`` tokens are no other's, ``rare`` and ``frequent`` are in order."""
-    enough = lacking(n, num, den) + 1
-    if lone >= enough:
+    lack = lacking(n, num, den)
+    if lone > lack:
         return np.empty(0, np.uint64)
-    if lone + len(rare) >= enough:
-        return rare[: enough - lone]
-    more = frequent[: 2 * max(0, differing(n, num, den) - lone - len(rare)) + 2]
-    return np.concatenate([rare, mix(more[:-1] * np.uint64(3) + mix(more[1:]))])
+    if lone + len(rare) > lack:
+        return rare[: lack + 1 - lone]
+    more = frequent[: lack + differing(n, num, den) - 2 * (lone + len(rare)) + 2]
+    return np.concatenate([rare, combined(more, 2)])
 
 
 def _raw(text) -> bytes:
@@ -91,7 +118,7 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.cumsum(first) - 1
 
 
-def _dealt(pairs: Iterator[tuple[int, np.ndarray]], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _dealt(pairs: Iterator[tuple[int, np.ndarray]], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(class, tokens) as (tokens, classes), sorted and distinct, of about ``most`` rows at a time."""
     held, size = [], 0
 
@@ -129,8 +156,8 @@ def _pairs_of(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, np.
 
 
 def partnered(firsts: DataFrame, buckets: int) -> DataFrame:
-    """The classes of ``firsts`` (class, packed tokens) that share a token with another class. A task settles its own
-    and sends one class for each token, so that a token of most classes is met once for each task."""
+    """The classes of ``firsts`` (class, packed keys) that share a key with another class. A task settles its own and
+    sends one class for each key, so that a key of most classes is met once for each task."""
 
     def deal(batches):
         def sent():
@@ -366,6 +393,8 @@ def class_links(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
 
 def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): sets of n-grams that link when den * intersection >= num * union."""
+    if 10 * num < 7 * den or num > den:
+        raise ValueError("the prefixes hold for similarities from 0.7 to 1")
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -376,13 +405,15 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
                 sets = token_sets([_raw(t) for t in b.column(1)], n)
-                firsts = [s[: lacking(len(s), num, den) + 1].tobytes() for s in sets]
+                firsts = [first_keys(s, num, den).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.binary())], ["doc_id", "class", "n", "firsts"])
 
-    described = Written(source.mapInArrow(describe, "doc_id long, class long, n long, firsts binary")).df
-    named = described.filter("n > 0 and doc_id is not null")
-    classes = named.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    wanted = Written(classes.join(partnered(named.select("class", "firsts"), buckets), "class").select("class", "rep"))
+    with_keys = Written(source.mapInArrow(describe, "doc_id long, class long, n long, firsts binary"))
+    described = Written(with_keys.df.drop("firsts")).df
+    named = "n > 0 and doc_id is not null"
+    classes = described.filter(named).groupBy("class").agg(F.min("doc_id").alias("rep"))
+    wanted = Written(classes.join(partnered(with_keys.df.filter(named).select("class", "firsts"), buckets), "class").select("class", "rep"))
+    with_keys.drop()
     release(spark)
 
     def whole_sets(batches):
