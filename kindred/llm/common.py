@@ -87,6 +87,25 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str, buckets:
     return out.select(*[left[c] for c in left.columns if c not in (rank, cell)], (left[rank] + offsets["__kindred_before"]).alias(rank))
 
 
+#: Bits of a filter of ids at most: 8 MB, however many ids there are.
+FILTER_BITS = 1 << 26
+
+
+def only_likely(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``df`` without most of the rows whose integer id is not in ``ids`` (its first column), before a join deals them out.
+    A bitmap of hashed ids, of bounded size, lets some others pass; with very many ids it lets all pass."""
+    spark, name = df.sparkSession, ids.columns[0]
+    bits = min(FILTER_BITS, 1 << max(15, (16 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
+    parts = ids.select((place(F.col(name)) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+    maps = [(r.b - 1, np.frombuffer(bytes(r.m), "<i8").tolist()) for r in parts]
+    known = spark.createDataFrame(maps, "__kindred_bucket long, __kindred_words array<long>")
+    at = place(F.col(id_col))
+    joined = df.join(F.broadcast(known), F.floor(at / (1 << 15)) == known["__kindred_bucket"])  # FILTER_BITS at most
+    bit = F.expr("bit_get(element_at(__kindred_words, cast((__kindred_at % 32768) div 64 as int) + 1), cast(__kindred_at % 64 as int)) = 1")
+    return joined.withColumn("__kindred_at", at).filter(bit).select(*df.columns)
+
+
 #: Odd multipliers of the word and window hashes.
 BYTE_BASE, WINDOW_BASE, MIX_A, MIX_B = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _SPACE = np.zeros(256, bool)
@@ -151,7 +170,7 @@ def _word_hashes(texts: list[bytes], lower: bool, gaps: np.ndarray, prefixes: tu
     found = np.split(mix(np.add.reduceat(values, heads) + lengths.astype(np.uint64) * np.uint64(MIX_A)), cuts)
     for n in prefixes:
         longer = lengths > n
-        part = mix(np.add.reduceat(np.where(place < n, values, np.uint64(0)), heads)[longer] + np.uint64(n) * np.uint64(MIX_B))
+        part = mix(np.add.reduceat(np.where(place < n, values, np.uint64(0)), heads)[longer] + np.uint64(n * MIX_B & 0xFFFFFFFFFFFFFFFF))
         found = [np.concatenate(x) for x in zip(found, np.split(part, np.searchsorted(starts[longer], bounds[:-1])))]
     return found
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, mix, release, window_hashes, word_hashes, written
+from .common import Written, mix, only_likely, release, window_hashes, word_hashes, written
 
 #: Tokens of more classes than this are frequent; at most so many are, those of most classes.
 RARE, FREQUENT = 64, 1 << 18
@@ -392,11 +392,12 @@ def class_links(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): sets of n-grams that link when den * intersection >= num * union."""
+    """(doc_id, n_shingles, component_id, tag, root), tag being a hash of the text and root a class of the component (rows
+    that share an id may lie in two): sets of n-grams that link when den * intersection >= num * union."""
     if 10 * num < 7 * den or num > den:
         raise ValueError("the prefixes hold for similarities from 0.7 to 1")
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(12, size // BUCKET_BYTES)
 
@@ -404,11 +405,11 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
-                sets = token_sets([_raw(t) for t in b.column(1)], n)
+                sets = token_sets([_raw(t) for t in b.column(2)], n)
                 firsts = [first_keys(s, num, den).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.binary())], ["doc_id", "class", "n", "firsts"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.binary())], ["doc_id", "tag", "class", "n", "firsts"])
 
-    with_keys = Written(source.mapInArrow(describe, "doc_id long, class long, n long, firsts binary"))
+    with_keys = Written(source.mapInArrow(describe, "doc_id long, tag long, class long, n long, firsts binary"))
     described = Written(with_keys.df.drop("firsts")).df
     named = "n > 0 and doc_id is not null"
     classes = described.filter(named).groupBy("class").agg(F.min("doc_id").alias("rep"))
@@ -424,13 +425,36 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
                 own = [i for i, (s, c) in enumerate(zip(sets, b.column(0).to_pylist())) if class_of(s) == c]  # rows may share an id
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([len(sets[i]) for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["class", "n", "tokens"])
 
-    texts = source.join(wanted.df.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "text")
+    named_texts = only_likely(source, "doc_id", wanted.df.select("rep"))
+    texts = named_texts.join(wanted.df.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "text")
     sets = Written(texts.mapInArrow(whole_sets, "class long, n long, tokens binary"))
     release(spark)
     roots = components(class_links(sets.df, num, den, buckets))
     joined = classes.select("class", "rep").join(roots, "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
     homes = written(joined).select("class", "rep", "root")
     smallest = homes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    home = homes.join(smallest, "root").select("class", "component_id")
-    out = described.select("doc_id", "class", F.col("n").alias("n_shingles")).join(home, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    home = homes.join(smallest, "root").select("class", "root", "component_id")
+    out = described.select("doc_id", "tag", "class", F.col("n").alias("n_shingles")).join(home, "class", "left")
+    named_row = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", F.when(named_row, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "tag", F.when(named_row, F.col("root")).alias("root"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id and then the smallest tag. Rows without words and
+    those with a null id are in no component and stay."""
+    tag = "__kindred_tag"
+    rows = written(linked(docs, n, num, den, id_col, text_col).filter("root is not null").select("doc_id", "tag", "component_id", "root"))
+    firsts = rows.filter("doc_id = component_id").groupBy("root").agg(F.min("tag").alias("first"))
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("tag") == F.col("first"))
+    judged = written(rows.join(firsts, "root").groupBy("doc_id", "tag").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("rows")))
+    left = docs.withColumn(tag, F.xxhash64(text_col))
+
+    def among(names: DataFrame, how: str) -> DataFrame:
+        return left.join(names, (left[id_col] == names["doc_id"]) & (left[tag] == names["tag"]), how)
+
+    # Most rows stay, and those that go are named; of repeated rows one stays.
+    kept = among(judged.filter("not stays or rows > 1"), "left_anti")
+    repeated = judged.filter("stays and rows > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(among(repeated, "left_semi").dropDuplicates([id_col, tag]))
+    return kept.drop(tag)

@@ -30,7 +30,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.linked(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return jaccard_join.linked(_table(spark, sf_dir, "documents"), n=3, num=90, den=100).drop("tag", "root")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
