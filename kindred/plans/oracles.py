@@ -118,7 +118,6 @@ PARTS |= {
       from (select *, row_number() over (partition by s1_id order by score desc, cand_id) as rank from fsc) r join q a on a.entity_id = r.s1_id join p b on b.entity_id = r.cand_id left join ftot x on x.entity_id = r.s1_id left join ftot y on y.entity_id = r.cand_id
       left join fmass m on m.s1_id = r.s1_id and m.cand_id = r.cand_id left join truth t on t.s1_id = r.s1_id and t.match_id = r.cand_id join split s on s.s1_id = r.s1_id where r.rank <= 50"""),
 }
-_ints = {"name_exact", "s1_name_missing", "candidate_name_missing", "address_exact", "shared_numeric_token_count", "s1_address_missing", "candidate_address_missing", "both_addresses_missing", "country_equal", "candidate_is_s2", "candidate_is_s3", "candidate_rank", "ranking_available"}
 PARTS |= {
     "long": ("feat", " union all ".join(f"select split, label, '{f}' feature, round_even({f}::double, 8) as v from feat" for f in FEATURES)),
     "stats": ("long", "select split, label, feature, count(*) as count, avg(v) as mean, stddev_pop(v) as std, min(v) as min, " + ", ".join(f"quantile_cont(v, {x}) as {p}" for p, x in PERCENTILES.items()) + ", max(v) as max from long group by all"),
@@ -214,7 +213,6 @@ PARTS |= {
 }
 
 _formula_ranks = lambda f: sql("ranks", f"select s1_id, cand_id, {_r('score', 'score')}, rank from ranks where formula = '{f}'")
-_feature_columns = ", ".join(f if f in _ints else _r(f, f) for f in FEATURES)
 _stat_columns = ", ".join(_r(c, c) for c in ("mean", "std", "min", *PERCENTILES, "max"))
 _separation = """pn as (select a.feature, a.mean positive_mean, b.mean negative_mean, a.std ps, b.std ns_ from stats a join stats b on a.feature = b.feature and a.split = 'train' and b.split = 'train' and a.label = 1 and b.label = 0)
 select feature, {pm}, {nm}, {gap}, case when positive_mean > negative_mean then 'higher' when positive_mean < negative_mean then 'lower' else 'none' end positive_direction from pn""".format(
@@ -247,7 +245,7 @@ ORACLES: dict[str, str] = {
     "experiment_ranks": sql("vr truth", f"select variant, {_summary} from vr join truth on truth.s1_id = vr.s1_id and match_id = cand_id group by 1"),
     "recovery_accounting": sql("vr fails", "select k, kind, count(*) filter (where v.rank <= k) recovered from fails f left join vr v on variant = 'expanded_address_rescue' and v.s1_id = f.s1_id and v.cand_id = f.match_id cross join (select unnest([50, 100, 150, 200])::int k) group by all"),
     "newly_lost_links": sql("vr fails truth", f"select count(*) newly_lost from truth t left join vr v on variant = 'expanded_address_rescue' and v.s1_id = t.s1_id and v.cand_id = t.match_id where (v.rank is null or v.rank > {CUTOFF}) and not exists (select 1 from fails f where f.s1_id = t.s1_id and f.match_id = t.match_id)"),
-    "pair_features": sql("feat", f"select s1_id, cand_id, {_feature_columns}, label, split from feat"),
+    "pair_features": sql("feat", f"select s1_id, cand_id, {", ".join(FEATURES)}, label, split from feat"),
     "feature_statistics": sql("stats", f"select split, label, feature, count, {_stat_columns} from stats"),
     "separation_report": sql("stats", "") + ", " + _separation,
     "constant_features": sql("stats", "select feature from stats where split = 'train' group by 1 having min(min) = max(max)"),

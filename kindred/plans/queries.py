@@ -161,7 +161,7 @@ def newly_lost_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(Linkage(spark, sf_dir).features())
+    return Linkage(spark, sf_dir).features()
 
 
 def feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
