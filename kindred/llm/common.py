@@ -46,6 +46,18 @@ def delete(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Bytes of an Arrow batch at most. Spark's 64 MB is for short rows; of texts, both sides of the pipe hold such a batch.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends texts to Python in batches of BATCH_BYTES or fewer."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "67108864b").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files that nothing refers to any more, before a long job makes its own."""
     for _ in range(2):  # the first round frees the driver's handles, the second what they held

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # Fixed values of the format and of the payload's layout.
 MOST_CODES = 4096
 BLOCK = 576
@@ -278,6 +280,7 @@ def stored(raw: bytes) -> tuple:
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: its text stored as a GIF and read back, with the features of its frames."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__kindred_raw"))
     schema = f"`{id_col}` {source.schema[0].dataType.simpleString()}, {STORED}"
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

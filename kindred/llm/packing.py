@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, written
+from .common import bounded_batches, ranked, written
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -109,6 +109,7 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document: its ids and the closing id, cut only where longer."""
+    bounded_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__kindred_text"))
     schema = f"`{id_col}` {source.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids

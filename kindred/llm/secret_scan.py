@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # The kinds in order, the public formats and their alphabets.
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "github", "npm", "xprv")
@@ -111,6 +113,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: its id and ``spans``, ordered by start and then by kind."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col).alias("__kindred_text"))
     schema = f"`{id_col}` {source.schema[0].dataType.simpleString()}, spans {SPANS}"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -126,6 +129,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans make one mark. Other columns stay."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def masked(texts):
         return texts.map(lambda t: mask(t, mark), na_action="ignore")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WINDOW_BASE, Written, mix, release, window_hashes, word_hashes, written
+from .common import WINDOW_BASE, Written, bounded_batches, mix, release, window_hashes, word_hashes, written
 
 LENGTH = 13
 #: Text bytes for each bucket of hashes; a bucket is one group of one task.
@@ -213,6 +213,7 @@ def _raw(text) -> bytes:
 def dedup(docs: DataFrame, length: int = LENGTH, longest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept, longest): what is left of each text without the words that a window covers whose
     words start in a document with a smaller id too; kept words are joined by one space."""
+    bounded_batches(docs.sparkSession)
     source = rows_of(docs, id_col, text_col)
     joined = source.join(repeated(source, length, longest), ["doc_id", "tag"], "left").select("doc_id", "text", "places", "later", "longest")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, word_hashes, written
+from .common import NOT_ALNUM, bounded_batches, word_hashes, written
 
 TERM_BITS = 26
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -109,6 +109,7 @@ def held_out(id_col: str, folds: int = 5):
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Machine:
     """A machine from at most ``sample`` labelled rows, drawn by a seeded hash of the id among those not held out."""
+    bounded_batches(docs.sparkSession)
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     drawn = rows.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64("k", F.lit(seed)), "k", "y").limit(sample)
     texts = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
