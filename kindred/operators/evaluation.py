@@ -120,3 +120,21 @@ def example_outcomes(truth: DataFrame, ranks: DataFrame, seq: DataFrame, k: int,
     rows = links.join(sizes, "s1_id").join(seq, "s1_id")
     good = rows.filter((F.col("outside") == 0) & (F.col("all") > k)).orderBy("seq", "s1_id").limit(most).select(F.lit("success").alias("outcome"), "s1_id")
     return good.unionByName(rows.filter("beyond > 0").orderBy("seq", "s1_id").limit(most).select(F.lit("failure").alias("outcome"), "s1_id"))
+
+
+def candidate_listing(candidates: DataFrame, truth: DataFrame, seq: DataFrame, most: int = 10) -> DataFrame:
+    """(s1_id, cand_id, is_match, is_candidate) of the first ``most`` entities: every candidate, told whether it is a match,
+    and every match that is no candidate."""
+    first = seq.orderBy("seq", "s1_id").limit(most).select("s1_id")
+    found = candidates.select("s1_id", "cand_id", F.lit(True).alias("c"))
+    true = truth.select("s1_id", F.col("match_id").alias("cand_id"), F.lit(True).alias("m"))
+    rows = found.join(true, ["s1_id", "cand_id"], "full").join(F.broadcast(first), "s1_id", "left_semi")
+    return rows.select("s1_id", "cand_id", F.col("m").isNotNull().alias("is_match"), F.col("c").isNotNull().alias("is_candidate"))
+
+
+def assert_reproduced(metrics: DataFrame, expected: dict[str, object]) -> None:
+    """Raise unless the one row of ``metrics`` has the values of an earlier run."""
+    row = metrics.first().asDict()
+    wrong = {k: (row.get(k), v) for k, v in expected.items() if row.get(k) != v}
+    if wrong:
+        raise ValueError(f"an earlier run is not reproduced: {wrong}")

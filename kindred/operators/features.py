@@ -135,3 +135,15 @@ def balances(split: DataFrame, truth: DataFrame, features: DataFrame) -> DataFra
     share = lambda c: F.coalesce(F.try_divide(100.0 * F.col(c), F.col("candidate_pairs").cast("double")), F.lit(0.0))
     part = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     return both.select("split", "s1_entities", "zero_candidate_entities", "positive_pairs", "negative_pairs", "candidate_pairs", share("positive_pairs").alias("positive_percentage"), share("negative_pairs").alias("negative_percentage"), part("negative_pairs", "positive_pairs").alias("negative_positive_ratio"), "known_true_links", part("positive_pairs", "known_true_links").alias("candidate_recall"), part("candidate_pairs", "s1_entities").alias("mean_candidates_per_s1"))
+
+
+def schema_descriptor(fuzzy: bool = False) -> dict[str, object]:
+    """What the columns of a feature file are."""
+    return {
+        "metadata": ["source1_entity_id", "candidate_entity_id", "candidate_source"],
+        "target": "label",
+        "features": [*FEATURES, *(FUZZY if fuzzy else ())],
+        "label_rule": "1 if the candidate is among the entity's matches, else 0; no match is added that is no candidate",
+        "split_rule": "entities, never pairs, are split; frequencies leave out records that only validation entities match",
+        "statistics": "exact, of all rows; population deviation; interpolated percentiles",
+    }

@@ -264,6 +264,8 @@ ORACLES: dict[str, str] = {
     "failure_cutoffs": sql("fails sup truth", f"select s1_id, cand_id cutoff_id, {_r('score', 'cutoff_score')}, exists (select 1 from truth t where t.s1_id = sup.s1_id and t.match_id = sup.cand_id) is_true from sup where rank = {CUTOFF} and s1_id in (select s1_id from fails where kind = 'ranking')"),
     "ranking_examples": sql("sup truth q", f"""select outcome, s1_id from (select *, row_number() over (partition by outcome order by seq, s1_id) k from (select unnest(case when outside = 0 and al > {CUTOFF} then ['success'] when beyond > 0 then ['failure'] else [] end) outcome, s1_id, seq from
       (select t.s1_id, count(*) filter (where rank is null or rank > {CUTOFF}) outside, count(*) filter (where rank > {CUTOFF}) beyond from truth t left join sup on sup.s1_id = t.s1_id and cand_id = match_id group by 1) join (select s1_id, count(*) al from sup group by 1) using (s1_id) join q on entity_id = s1_id)) where k <= 10"""),
+    "candidate_listing": sql("c truth q", """, f as (select entity_id s1_id from q order by seq, entity_id limit 10) select coalesce(c.s1_id, t.s1_id) s1_id, coalesce(c.cand_id, t.match_id) cand_id, t.s1_id is not null is_match, c.s1_id is not null is_candidate
+      from c full join truth t on t.s1_id = c.s1_id and t.match_id = c.cand_id where coalesce(c.s1_id, t.s1_id) in (select s1_id from f)"""),
     "truth_cardinality": sql("lists", "select count(*) entities, " + ", ".join(f"count(*) filter (where {x}) matches_{k}, {_r(f'100.0::double * count(*) filter (where {x}) / count(*)', f'percent_{k}')}" for k, x in (("zero", "n = 0"), ("one", "n = 1"), ("two", "n = 2"), ("three_or_more", "n >= 3"))) + f", max(n) most_matches, {_r('avg(n)', 'average_matches')}, sum(n)::bigint total_links from lists"),
     "source_coverage": sql("lists", "select sum(s2)::bigint s2_links, sum(s3)::bigint s3_links, count(*) filter (where s2 > 0 and s3 = 0) only_s2, count(*) filter (where s3 > 0 and s2 = 0) only_s3, count(*) filter (where s2 > 0 and s3 > 0) both_sources, count(*) filter (where s2 = 0 and s3 = 0) no_links from lists"),
     "integrity_checks": sql("truth p q", """, l as (select s1_id, list(match_id) ids, substr(s1_id, 4)::bigint k from truth group by 1), f as (select case when k % 11 = 0 then 'S1-x' || k else s1_id end s1_id, case when k % 7 = 0 then list_append(ids, ids[1]) when k % 7 = 1 then list_append(ids, 'S2-x' || s1_id) when k % 7 = 2 then list_append(ids, 'Q-1') else ids end ids from l),

@@ -235,6 +235,11 @@ def ranking_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.example_outcomes(x.truth, _supported(x), x.queries.select(F.col("entity_id").alias("s1_id"), "seq"), CUTOFF)
 
 
+def candidate_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Linkage(spark, sf_dir)
+    return evaluation.candidate_listing(blocking.candidates(x.queries, x.pool), x.truth, x.queries.select(F.col("entity_id").alias("s1_id"), "seq"))
+
+
 def script_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Linkage(spark, sf_dir).queries.select("entity_id", script_profile(F.col("name")).alias("p"))
     return rows.select("entity_id", F.array_join("p.scripts", ",").alias("scripts"), F.col("p.dominant").alias("dominant"))
@@ -341,7 +346,7 @@ def fuzz_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     normalize_records, blocking_keys, block_eval_abc, best_configuration, doc_freq, idf_weights, rare_name_tokens, rare_address_tokens, rare_trigrams, expanded_candidates, pair_signals, topk_sweep, formula_selection,
     rank_summary, improved_signals, address_rescue_top50, expansion_eval, experiment_sweep, experiment_ranks, recovery_accounting, newly_lost_links, pair_features, feature_statistics, separation_report, constant_features,
-    split_entities, label_balance, frozen_doc_freq, failure_kinds, failure_flags, failure_categories, failure_examples, rival_diagnostics, failure_cutoffs, ranking_examples, script_profiles, truth_cardinality, source_coverage,
+    split_entities, label_balance, frozen_doc_freq, failure_kinds, failure_flags, failure_categories, failure_examples, rival_diagnostics, failure_cutoffs, ranking_examples, candidate_listing, script_profiles, truth_cardinality, source_coverage,
     integrity_checks, orders_customer_integrity, customer_profile, text_stats, value_counts, train_test_drift, record_examples, validator_findings, pool_sample, pool_sample_stats, row_range_sample, result_lists, fuzz_ratio,
 )}
 QUERIES |= {f"candidates_{c.lower()}": _candidates(c) for c in blocking.CONFIGURATIONS} | {f"rank_{f}": _ranks(f) for f in scoring.FORMULAS}

@@ -244,3 +244,16 @@ def test_sinks(spark, tmp_path):
     sinks.report(docs, str(tmp_path / "rep"), "Counts")
     assert spark.read.csv(str(tmp_path / "p"), sep="\t", header=True).filter("candidate_source = 'S2'").count() == 1
     assert len(sinks.input_manifest(spark, str(tmp_path / "i"))) >= 1
+
+
+def test_listing_and_reproduction(spark):
+    found = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-2"), ("S1-2", "S2-9")], "s1_id string, cand_id string")
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S3-7")], "s1_id string, match_id string")
+    seq = spark.createDataFrame([("S1-1", 1), ("S1-2", 2)], "s1_id string, seq long")
+    rows = {tuple(r) for r in evaluation.candidate_listing(found, truth, seq, 1).collect()}
+    assert rows == {("S1-1", "S2-1", True, True), ("S1-1", "S2-2", False, True), ("S1-1", "S3-7", True, False)}
+    metrics = spark.createDataFrame([(3, 2)], "total_pairs int, found_links int")
+    evaluation.assert_reproduced(metrics, {"total_pairs": 3})
+    with pytest.raises(ValueError):
+        evaluation.assert_reproduced(metrics, {"total_pairs": 4})
+    assert len(features.schema_descriptor()["features"]) == 25 and len(features.schema_descriptor(True)["features"]) == 27
