@@ -36,10 +36,14 @@ def _sides(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.withColumnRenamed("entity_id", "s1_id").join(right.withColumnRenamed("entity_id", "cand_id"), on)
 
 
+def _key_pairs(queries: DataFrame, pool: DataFrame, config: str) -> DataFrame:
+    rules = CONFIGURATIONS[config]
+    return _sides(blocking_keys(queries, rules), blocking_keys(pool, rules), ["rule", "country", "value"]).select("s1_id", "cand_id")
+
+
 def candidates(queries: DataFrame, pool: DataFrame, config: str = "C") -> DataFrame:
     """(s1_id, cand_id) that share a key of any of the configuration's rules."""
-    rules = CONFIGURATIONS[config]
-    return _sides(blocking_keys(queries, rules), blocking_keys(pool, rules), ["rule", "country", "value"]).select("s1_id", "cand_id").distinct()
+    return _key_pairs(queries, pool, config).distinct()
 
 
 def candidates_by_config(queries: DataFrame, pool: DataFrame) -> DataFrame:
@@ -56,10 +60,14 @@ def _capped(terms: DataFrame, field: str, cap: int) -> DataFrame:
     return terms.filter((F.col("field") == field) & (F.col("df") <= cap)).select("country", "term", "df")
 
 
+def _name_pairs(queries: DataFrame, pool: DataFrame, terms: DataFrame, cap: int) -> DataFrame:
+    postings = _terms(pool, "name_tokens").join(_capped(terms, "name", cap), ["country", "term"], "left_semi")
+    return _sides(_terms(queries, "name_tokens"), postings, ["country", "term"]).select("s1_id", "cand_id")
+
+
 def rare_names(queries: DataFrame, pool: DataFrame, terms: DataFrame, cap: int = NAME_CAP) -> DataFrame:
     """Pairs that share any name token of at most ``cap`` pool records."""
-    postings = _terms(pool, "name_tokens").join(_capped(terms, "name", cap), ["country", "term"], "left_semi")
-    return _sides(_terms(queries, "name_tokens"), postings, ["country", "term"]).select("s1_id", "cand_id").distinct()
+    return _name_pairs(queries, pool, terms, cap).distinct()
 
 
 def rare_addresses(queries: DataFrame, pool: DataFrame, terms: DataFrame, cap: int = ADDRESS_CAP, hits: int = HITS) -> DataFrame:
@@ -81,7 +89,8 @@ def rare_trigrams(queries: DataFrame, pool: DataFrame, terms: DataFrame, cap: in
 def expanded(queries: DataFrame, pool: DataFrame, terms: DataFrame) -> DataFrame:
     """(s1_id, cand_id, in_c, in_tokens, in_ngrams): the union of config C and the rare-term rules, with origins as flags so
     that one pass serves every variant. ``terms`` are the frequencies of the searched pool."""
-    parts = [(candidates(queries, pool), "c"), (rare_names(queries, pool, terms), "tokens"), (rare_addresses(queries, pool, terms), "tokens"), (rare_trigrams(queries, pool, terms), "ngrams")]
+    # Pairs of several keys meet in the one aggregation below; its partial step takes most of them together before any shuffle.
+    parts = [(_key_pairs(queries, pool, "C"), "c"), (_name_pairs(queries, pool, terms, NAME_CAP), "tokens"), (rare_addresses(queries, pool, terms), "tokens"), (rare_trigrams(queries, pool, terms), "ngrams")]
     rows = reduce(DataFrame.unionByName, (df.withColumn("origin", F.lit(ORIGINS[o])) for df, o in parts))
     bits = rows.groupBy("s1_id", "cand_id").agg(F.bit_or("origin").alias("origin"))
     return bits.select("s1_id", "cand_id", *((F.col("origin").bitwiseAND(F.lit(b)) > 0).alias(f"in_{o}") for o, b in ORIGINS.items()))
