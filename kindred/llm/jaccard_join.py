@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, mix, only_likely, release, window_hashes, word_hashes, written
+from .common import Written, bounded_batches, mix, only_likely, release, window_hashes, word_hashes, written
 
 #: Tokens of more classes than this are frequent; at most so many are, those of most classes.
 RARE, FREQUENT = 64, 1 << 18
@@ -106,11 +106,6 @@ def _unpack(raw, kind=np.uint64) -> np.ndarray:
     return np.frombuffer(raw.as_buffer(), kind)
 
 
-def _gathered(cell, kind=np.uint64) -> np.ndarray:
-    parts = [_unpack(x, kind) for x in cell.values] if cell.is_valid and len(cell.values) else []
-    return np.concatenate(parts) if parts else np.empty(0, kind)
-
-
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where runs of equal values begin, and each value's run."""
     first = np.ones(len(sorted_values), bool)
@@ -150,6 +145,15 @@ def _bucketed(tokens: np.ndarray, columns: list[np.ndarray], buckets: int) -> tu
     return ids.tolist(), [[c[a:b].tobytes() for a, b in zip(cut, cut[1:])] for c in (c[order] for c in [tokens, *columns])]
 
 
+def _parted(classes: np.ndarray, columns: list[np.ndarray], parts: int) -> tuple[list[int], list[list[bytes]]]:
+    """Rows packed by parts of the classes, so that what a group answers is a row for each part and not for each class."""
+    part = np.mod(classes, parts)
+    order = np.argsort(part, kind="stable")
+    ids, first = np.unique(part[order], return_index=True)
+    cut = np.append(first, len(order)).tolist()
+    return ids.tolist(), [[c[a:b].tobytes() for a, b in zip(cut, cut[1:])] for c in (c[order] for c in [classes, *columns])]
+
+
 def _pairs_of(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, np.ndarray]]:
     for c, raw in zip(batch.column(0).to_pylist(), batch.column(column)):
         yield c, _unpack(raw)
@@ -181,11 +185,15 @@ def partnered(firsts: DataFrame, buckets: int) -> DataFrame:
             ends = np.append(start[1:], len(tokens)) - 1
             shared = (classes[start] != classes[ends]) | (np.bincount(run, several) > 0)
             found = classes[shared[run]]
-        return pa.table([pa.array(np.unique(found), pa.int64())], ["class"])
+        (ids, (packed,)) = _parted(np.unique(found), [], buckets)
+        return pa.table([pa.array(ids, pa.int32()), pa.array(packed, pa.binary())], ["part", "classes"])
+
+    def together(table: pa.Table) -> pa.Table:
+        return pa.table([pa.array(np.unique(np.concatenate([_unpack(x, np.int64) for x in table.column("classes")])), pa.int64())], ["class"])
 
     rows = firsts.mapInArrow(deal, "bucket int, tokens binary, classes binary, several binary")
     salted = rows.withColumn("salt", F.when(F.col("bucket") < 0, F.pmod(F.hash("classes"), F.lit(buckets))).otherwise(0))
-    return salted.groupBy("bucket", "salt").applyInArrow(answer, "class long").distinct()
+    return salted.groupBy("bucket", "salt").applyInArrow(answer, "part int, classes binary").groupBy("part").applyInArrow(together, "class long")
 
 
 def frequent_tokens(sets: DataFrame, buckets: int) -> dict[int, int]:
@@ -235,36 +243,32 @@ def indexed(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
         start, run = _runs(tokens)
         df = np.bincount(run).astype(np.uint32)[run]
         own = np.flatnonzero(df > 1)
-        own = own[np.argsort(classes[own], kind="stable")]
-        ids, first = np.unique(classes[own], return_index=True)
-        cut = np.append(first, len(own)).tolist()
-        packed = [[c[own[a:b]].tobytes() for a, b in zip(cut, cut[1:])] for c in (tokens, df)]
-        return pa.table([pa.array(ids, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["class", "shared", "df"])
-
-    found = sets.select("class", "tokens").mapInArrow(deal, "bucket int, tokens binary, classes binary").groupBy("bucket").applyInArrow(answer, "class long, shared binary, df binary")
-    joined = sets.join(found.groupBy("class").agg(F.collect_list("shared").alias("shared"), F.collect_list("df").alias("df")), "class", "left").select("class", "n", "tokens", "shared", "df")
-
-    def key(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                classes, ns, cores, keys = [], [], [], []
-                for i, (c, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                    tokens = _unpack(b.column(2)[i])
-                    shared, df = _gathered(b.column(3)[i]), _gathered(b.column(4)[i], np.uint32)
-                    rare = shared[np.lexsort((shared, df))]
-                    hit, where = is_frequent(tokens)
-                    common = tokens[hit]
-                    common = common[np.lexsort((common, names.value[where[hit], 1]))] if len(common) else common
-                    own = keys_of(n, n - len(rare) - len(common), rare, common, num, den)
-                    if len(own):
-                        classes.append(c)
-                        ns.append(n)
-                        cores.append(np.sort(np.concatenate([rare, common])).tobytes())
-                        keys.append(own.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(ns, pa.int64()), pa.array(cores, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["class", "n", "core", "keys"])
-
-    return joined.mapInArrow(key, "class long, n long, core binary, keys array<long>")
+        ids, packed = _parted(classes[own], [tokens[own], df[own]], buckets)
+        return pa.table([pa.array(ids, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["part", "classes", "tokens", "df"])
+
+    def key(group: pa.Table, answers: pa.Table) -> pa.Table:
+        kinds = (("classes", np.int64), ("tokens", np.uint64), ("df", np.uint32))
+        owners, shared, counts = (np.concatenate([np.empty(0, k), *(_unpack(x, k) for x in answers.column(n))]) for n, k in kinds)
+        order = np.lexsort((shared, counts, owners))
+        owners, shared = owners[order], shared[order]
+        classes, ns, cores, keys = [], [], [], []
+        for c, n, raw in zip(group.column("class").to_pylist(), group.column("n").to_pylist(), group.column("tokens")):
+            tokens = _unpack(raw)
+            rare = shared[np.searchsorted(owners, c, "left") : np.searchsorted(owners, c, "right")]
+            hit, where = is_frequent(tokens)
+            common = tokens[hit]
+            common = common[np.lexsort((common, names.value[where[hit], 1]))] if len(common) else common
+            own = keys_of(n, n - len(rare) - len(common), rare, common, num, den)
+            if len(own):
+                classes.append(c)
+                ns.append(n)
+                cores.append(np.sort(np.concatenate([rare, common])).tobytes())
+                keys.append(own.view(np.int64))
+        return pa.table([pa.array(classes, pa.int64()), pa.array(ns, pa.int64()), pa.array(cores, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["class", "n", "core", "keys"])
+
+    found = sets.select("class", "tokens").mapInArrow(deal, "bucket int, tokens binary, classes binary").groupBy("bucket").applyInArrow(answer, "part int, classes binary, tokens binary, df binary")
+    parts = sets.withColumn("part", F.pmod("class", F.lit(buckets)).cast("int"))
+    return parts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(key, "class long, n long, core binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, cores: DataFrame, num: int, den: int) -> DataFrame:
@@ -397,6 +401,7 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
     if 10 * num < 7 * den or num > den:
         raise ValueError("the prefixes hold for similarities from 0.7 to 1")
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(12, size // BUCKET_BYTES)
