@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocking, features, frequency, scoring
+from ..session import ship
 from ..sources import records as src
 
 FIXTURE = r"""
@@ -30,6 +31,7 @@ union all select concat('S3-',doc_id),
 
 
 def raw_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.sql(FIXTURE, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

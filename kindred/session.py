@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +24,18 @@ def session(name: str = "kindred", master: str | None = None, **conf: str) -> Sp
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python, once for each context, unless PYTHONPATH already leads them to it."""
+    package = Path(__file__).resolve().parent
+    paths = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    context = spark.sparkContext
+    if str(package.parent) in paths or getattr(context, "_kindred_shipped", False):
+        return
+    target = f"{tempfile.mkdtemp(prefix='kindred-')}/kindred.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(target)
+    context._kindred_shipped = True
