@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
@@ -29,6 +31,7 @@ _folders: dict[str, str] = {}
 
 
 def _app_dir(spark: SparkSession) -> str:
+    ship(spark)
     app = spark.sparkContext.applicationId
     if app not in _folders:
         _folders[app] = f"{shared_dir(spark)}/kindred-{app}"
@@ -52,6 +55,7 @@ BATCH_BYTES = 8 << 20
 
 def bounded_batches(spark: SparkSession) -> None:
     """From now on the session sends texts to Python in batches of BATCH_BYTES or fewer."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, "67108864b").rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
