@@ -26,7 +26,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
+    return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents"), longest=True))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
