@@ -10,10 +10,10 @@ and each difference breaks at most k - 1 of the runs of k neighbours that are le
 3. Of each class the prefix is indexed: A + 1 tokens if so many are rare, singly. Where too few are, r of them, the
    prefix is extended with A + E - 2 r + 2 frequent ones, indexed as combinations of two neighbours: if all of the
    rare ones are missing, so few differences are left that the above holds for these.
-4. Classes that share an indexed key are verified exactly. In a small group, first all against one, then those of
-   different components against each other. A large group is dealt out in blocks, each pair of blocks compared by
-   products of incidence matrices; only a spanning forest of its links leaves the task.
-5. Components of the links come by alternating large and small stars.
+4. Classes that share an indexed key are verified exactly, each pair once. Pairs of small groups meet as rows. A large
+   group is dealt out in blocks, each pair of blocks compared by products of incidence matrices, without the pairs that
+   share a smaller key of a large group; a spanning forest of the links and each class's number of them leave the task.
+5. Components of the links come by alternating large and small stars; links are summed up by class.
 
 A token is a 64-bit hash of an n-gram, a class a 64-bit hash of its set. Null and empty texts have no tokens and are
 linked with nothing; a text with fewer words than n is one token, all of its words; long texts are read whole; repeated
@@ -218,7 +218,7 @@ def frequent_tokens(sets: DataFrame, buckets: int) -> dict[int, int]:
 
 
 def indexed(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
-    """(class, n, core, keys): of each class of ``sets`` (class, n, tokens) that may have a partner the tokens that others
+    """(class, n, rows, core, keys): of each class of ``sets`` (class, n, tokens, rows) that may have a partner the tokens that others
     have too, packed, and its index keys."""
     often = frequent_tokens(sets, buckets)
     table = np.array(sorted((t, df) for t, df in often.items()), np.uint64).reshape(-1, 2)
@@ -251,8 +251,8 @@ def indexed(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
         owners, shared, counts = (np.concatenate([np.empty(0, k), *(_unpack(x, k) for x in answers.column(n))]) for n, k in kinds)
         order = np.lexsort((shared, counts, owners))
         owners, shared = owners[order], shared[order]
-        classes, ns, cores, keys = [], [], [], []
-        for c, n, raw in zip(group.column("class").to_pylist(), group.column("n").to_pylist(), group.column("tokens")):
+        classes, ns, rows, cores, keys = [], [], [], [], []
+        for c, n, rows_of, raw in zip(*(group.column(x).to_pylist() for x in ("class", "n", "rows")), group.column("tokens")):
             tokens = _unpack(raw)
             rare = shared[np.searchsorted(owners, c, "left") : np.searchsorted(owners, c, "right")]
             hit, where = is_frequent(tokens)
@@ -262,92 +262,127 @@ def indexed(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
             if len(own):
                 classes.append(c)
                 ns.append(n)
+                rows.append(rows_of)
                 cores.append(np.sort(np.concatenate([rare, common])).tobytes())
                 keys.append(own.view(np.int64))
-        return pa.table([pa.array(classes, pa.int64()), pa.array(ns, pa.int64()), pa.array(cores, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["class", "n", "core", "keys"])
+        return pa.table([pa.array(classes, pa.int64()), pa.array(ns, pa.int64()), pa.array(rows, pa.int64()), pa.array(cores, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["class", "n", "rows", "core", "keys"])
 
     found = sets.select("class", "tokens").mapInArrow(deal, "bucket int, tokens binary, classes binary").groupBy("bucket").applyInArrow(answer, "part int, classes binary, tokens binary, df binary")
     parts = sets.withColumn("part", F.pmod("class", F.lit(buckets)).cast("int"))
-    return parts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(key, "class long, n long, core binary, keys array<long>")
+    return parts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(key, "class long, n long, rows long, core binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, cores: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link."""
-    of = lambda c: cores.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("core").alias(f"core_{c}"))
-    rows = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_a", "n_b", "core_a", "core_b")
+    """Those of ``pairs`` (a, b) that link and share no key of a large group, with both classes' numbers of rows."""
+    of = lambda c: cores.select(F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "rows", "core", "large")))
+    both_sides = pairs.join(of("b"), "b").join(of("a"), "a")
+    rows = both_sides.select("a", "b", "rows_a", "rows_b", "n_a", "n_b", "core_a", "core_b", "large_a", "large_b")
 
     def run(batches):
         for b in batches:
-            n = b.column(2).to_numpy() + b.column(3).to_numpy()
-            both = np.array([len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True)) for x, y in zip(b.column(4), b.column(5))], np.int64)
-            yield b.select(["a", "b"]).filter(pa.array(den * both >= num * (n - both)))
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def _forest(edges: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    parent, out = list(range(n)), []
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        x, y = root(a), root(b)
-        if x != y:
-            parent[x] = y
-            out.append((a, b))
+            n = b.column(4).to_numpy() + b.column(5).to_numpy()
+            both = np.array([len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True)) for x, y in zip(b.column(6), b.column(7))], np.int64)
+            links = den * both >= num * (n - both)
+            for i in np.flatnonzero(links):
+                x, y = (b.column(c)[int(i)].values.to_numpy() for c in (8, 9))
+                links[i] = not (len(x) and len(y) and len(np.intersect1d(x, y)))
+            yield b.select(["a", "b", "rows_a", "rows_b"]).filter(pa.array(links))
+
+    return rows.mapInArrow(run, "a long, b long, rows_a long, rows_b long")
+
+
+def _forest(links: Iterator[tuple[int, np.ndarray]], n: int) -> list[tuple[int, int]]:
+    """Of the links, a class with its partners at a time, those that connect what was not yet connected."""
+    part, out = np.arange(n), []
+    for a, partners in links:
+        parts, first = np.unique(part[partners], return_index=True)
+        fresh = parts != part[a]
+        if fresh.any():
+            out += [(a, int(b)) for b in partners[first[fresh]]]
+            part[np.isin(part, parts[fresh])] = part[a]
     return out
 
 
-def block_links(classes: np.ndarray, sizes: np.ndarray, cores: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between classes of which one is ``left`` and the other is not, or of all if none or
-    all are. Intersections are products of incidence matrices, some tokens and rows at a time."""
-    a, b = (np.flatnonzero(left), np.flatnonzero(~left)) if 0 < left.sum() < len(left) else (np.arange(len(left)),) * 2
-    names, index = np.unique(np.concatenate(cores), return_inverse=True)
-    row = np.repeat(np.arange(len(cores)), [len(c) for c in cores])
+def _products(sets: list[np.ndarray], b: np.ndarray):
+    """A function that gives the sizes of intersections of the sets ``top`` with those of ``b``: products of incidence
+    matrices, some tokens at a time."""
+    names, index = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(c) for c in sets])
     order = np.argsort(index, kind="stable")
     index, row = index[order], row[order]
-    place = np.full(len(cores), -1)
+    place, other = np.full(len(sets), -1), np.full(len(sets), -1)
+    other[b] = np.arange(len(b))
+
+    def of(top: np.ndarray) -> np.ndarray:
+        place[:] = -1
+        place[top] = np.arange(len(top))
+        both = np.zeros((len(top), len(b)), np.float32)
+        for first in range(0, len(names), 1024):
+            lo, hi = np.searchsorted(index, (first, first + 1024))
+            x, y = np.zeros((len(top), 1024), np.float32), np.zeros((len(b), 1024), np.float32)
+            r, t = row[lo:hi], index[lo:hi] - first
+            x[place[r[place[r] >= 0]], t[place[r] >= 0]] = 1
+            y[other[r[other[r] >= 0]], t[other[r] >= 0]] = 1
+            both += x @ y.T
+        return both
+
+    return of
+
+
+def block_links(classes: np.ndarray, sizes: np.ndarray, cores: list[np.ndarray], left: np.ndarray, num: int, den: int, earlier: list[np.ndarray] | None = None, rows: np.ndarray | None = None, found: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between classes of which one is ``left`` and the other is not, or of all if none or
+    all are. Pairs that share one of their ``earlier`` keys are left out. To ``found`` are added the ``rows`` of all
+    classes that each class is linked with. Some classes are compared with all others at a time."""
+    within = not 0 < left.sum() < len(left)
+    a, b = (np.arange(len(left)),) * 2 if within else (np.flatnonzero(left), np.flatnonzero(~left))
+    shared, met = _products(cores, b), _products(earlier, b) if earlier is not None else None
 
     def links():
         for at in range(0, len(a), 512):
             top = a[at : at + 512]
-            place[:] = -1
-            place[top] = np.arange(len(top))
-            other = np.full(len(cores), -1)
-            other[b] = np.arange(len(b))
-            both = np.zeros((len(top), len(b)), np.float32)
-            for first in range(0, len(names), 1024):
-                lo, hi = np.searchsorted(index, (first, first + 1024))
-                x, y = np.zeros((len(top), 1024), np.float32), np.zeros((len(b), 1024), np.float32)
-                r, t = row[lo:hi], index[lo:hi] - first
-                x[place[r[place[r] >= 0]], t[place[r] >= 0]] = 1
-                y[other[r[other[r] >= 0]], t[other[r] >= 0]] = 1
-                both += x @ y.T
-            union = sizes[top][:, None] + sizes[b][None, :] - both
-            for i, j in zip(*np.nonzero(den * both >= num * union)):
-                if top[i] != b[j]:
-                    yield int(top[i]), int(b[j])
+            fresh = met(top) == 0 if met else np.ones((len(top), len(b)), bool)
+            if within:
+                fresh[np.arange(len(top)), top] = False
+            some = fresh.any(axis=1)
+            top, fresh = top[some], fresh[some]
+            if not len(top):
+                continue
+            both = shared(top).astype(np.float64)
+            link = fresh & (den * both >= num * (sizes[top][:, None] + sizes[b][None, :] - both))
+            if found is not None:
+                found[top] += link @ rows[b]
+                if not within:
+                    found[b] += rows[top] @ link
+            for i in np.flatnonzero(link.any(axis=1)):
+                yield int(top[i]), b[link[i]]
 
     return [(int(classes[i]), int(classes[j])) for i, j in _forest(links(), len(cores))]
 
 
 def large_group_links(groups: DataFrame, cores: DataFrame, num: int, den: int) -> DataFrame:
-    """Links within groups (key, class, blocks): each class goes to one row for every other block of its group."""
+    """Of groups (key, class, blocks): links (a, b) that connect what is linked, and rows (a, null, others) that sum up to the
+    rows of the classes that a is linked with. Each class goes to one row for every other block of its group; a pair
+    counts in the group of the smallest key that it shares."""
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     dealt = groups.withColumn("own", block).withColumn("other", other)
     dealt = dealt.select("key", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        found = block_links(table.column("class").to_numpy(), table.column("n").to_numpy(), [_unpack(x) for x in table.column("core")], np.array(table.column("left").to_pylist(), bool), num, den)
-        return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        classes, rows, left = table.column("class").to_numpy(), table.column("rows").to_numpy(), np.array(table.column("left").to_pylist(), bool)
+        edges, found = [], np.zeros(len(classes), np.int64)
+        if key[1].as_py() == key[2].as_py() or 0 < left.sum() < len(left):  # else one of the blocks is empty
+            earlier = [x.values.to_numpy().astype(np.int64) for x in table.column("earlier")]
+            edges = block_links(classes, table.column("n").to_numpy(), [_unpack(x) for x in table.column("core")], left, num, den, earlier, rows, found)
+        some = np.flatnonzero(found)
+        a = np.concatenate([np.array([x for x, _ in edges], np.int64), classes[some]])
+        b = [x for _, x in edges] + [None] * len(some)
+        others = np.concatenate([np.zeros(len(edges), np.int64), found[some]])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(others, pa.int64())], ["a", "b", "others"])
 
-    rows = dealt.join(cores.select("class", "n", "core"), "class")
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    rows = dealt.join(cores.select("class", "n", "rows", "core", "large"), "class")
+    rows = rows.withColumn("earlier", F.filter("large", lambda k: k < F.col("key"))).drop("large")
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, others long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -369,35 +404,39 @@ def components(links: DataFrame) -> DataFrame:
     return edges.df.select(F.col("u").alias("class"), F.col("v").alias("root")).unionByName(edges.df.select(F.col("v").alias("class"), F.col("v").alias("root")).distinct())
 
 
-def class_links(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
-    """Links (a, b) between classes of ``sets`` that connect all that any links connect."""
-    cores = Written(indexed(sets, num, den, buckets)).df
+def class_links(sets: DataFrame, num: int, den: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Of the links between classes of ``sets`` (class, n, tokens, rows): some (a, b) that connect all that any connect, and
+    (class, others), the rows of all classes that a class is linked with."""
+    indexed_ = Written(indexed(sets, num, den, buckets))
     release(sets.sparkSession)
-    keyed = cores.select(F.explode("keys").alias("key"), "class", F.size(F.col("keys")).alias("k"), "n")
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("tokens"), F.min("class").alias("first")).filter("classes > 1")
-    members = Written(keyed.join(groups, "key").select("key", "class", "n", "classes", "tokens", "first"))
-    small = members.df.filter(F.col("classes") <= SMALL)
+    keyed = indexed_.df.select(F.explode("keys").alias("key"), "class", "n")
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("tokens")).filter("classes > 1")
+    members = Written(keyed.join(groups, "key").select("key", "class", "n", "classes", "tokens"))
+    large = members.df.filter(F.col("classes") > SMALL)
+    keys = large.groupBy("class").agg(F.collect_list("key").alias("large"))
+    met = members.df.select("class").distinct()
+    none = F.array().cast("array<long>")
+    cores = Written(indexed_.df.drop("keys").join(met, "class").join(keys, "class", "left").withColumn("large", F.coalesce("large", none))).df
+    indexed_.drop()
     blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("tokens") / BLOCK_TOKENS))
-    found = [Written(large_group_links(members.df.filter(F.col("classes") > SMALL).select("key", "class", blocks.alias("blocks")), cores, num, den)).df]
+    by_block = Written(large_group_links(large.select("key", "class", blocks.alias("blocks")), cores, num, den)).df
     fits = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    stars = small.filter("class != first").select("key", F.col("first").alias("a"), F.col("class").alias("b"), F.col("n").alias("n_b"))
-    first = Written(stars.select("a", "b").distinct())
-    found.append(Written(verified(first.df, cores, num, den)).df)
-    roots = Written(components(found[0].unionByName(found[1]))).df
-    rooted = small.select("key", "class", "n", "first").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    open_ = rooted.join(mixed, "key").filter("class != first")
-    left = open_.select("key", F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-    right = open_.select("key", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+    small = members.df.filter(F.col("classes") <= SMALL)
+    left = small.select("key", F.col("class").alias("a"), F.col("n").alias("n_a"))
+    right = small.select("key", F.col("class").alias("b"), F.col("n").alias("n_b"))
     # At most SMALL - 1 partners a row; larger groups went by blocks.
-    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits).select("a", "b").distinct()
-    found.append(Written(verified(rest, cores, num, den)).df)
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    by_row = Written(verified(pairs, cores, num, den)).df
+    each = F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("rows_b").alias("others")), F.struct(F.col("b").alias("class"), F.col("rows_a").alias("others")))).alias("e")
+    counted = by_row.select(each).select("e.class", "e.others").unionByName(by_block.filter("b is null").select(F.col("a").alias("class"), "others"))
+    links = by_row.select("a", "b").unionByName(by_block.filter("b is not null").select("a", "b"))
+    return links, counted.groupBy("class").agg(F.sum("others").alias("others"))
 
 
 def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, tag, root), tag being a hash of the text and root a class of the component (rows
-    that share an id may lie in two): sets of n-grams that link when den * intersection >= num * union."""
+    """(doc_id, n_shingles, component_id, n_links, tag, root): sets of n-grams that link when den * intersection >= num *
+    union. n_links counts all other rows that a row is linked with, rows of an equal set among them; tag is a hash of the
+    text and root a class of the component (rows that share an id may lie in two)."""
     if 10 * num < 7 * den or num > den:
         raise ValueError("the prefixes hold for similarities from 0.7 to 1")
     spark = docs.sparkSession
@@ -417,8 +456,8 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
     with_keys = Written(source.mapInArrow(describe, "doc_id long, tag long, class long, n long, firsts binary"))
     described = Written(with_keys.df.drop("firsts")).df
     named = "n > 0 and doc_id is not null"
-    classes = described.filter(named).groupBy("class").agg(F.min("doc_id").alias("rep"))
-    wanted = Written(classes.join(partnered(with_keys.df.filter(named).select("class", "firsts"), buckets), "class").select("class", "rep"))
+    classes = described.filter(named).groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    wanted = Written(classes.join(partnered(with_keys.df.filter(named).select("class", "firsts"), buckets), "class").select("class", "rep", "rows"))
     with_keys.drop()
     release(spark)
 
@@ -428,20 +467,21 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
                 b = whole.slice(at, 200)
                 sets = token_sets([_raw(t) for t in b.column(1)], n)
                 own = [i for i, (s, c) in enumerate(zip(sets, b.column(0).to_pylist())) if class_of(s) == c]  # rows may share an id
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([len(sets[i]) for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["class", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([len(sets[i]) for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary()), b.column(2).take(pa.array(own, pa.int64()))], ["class", "n", "tokens", "rows"])
 
     named_texts = only_likely(source, "doc_id", wanted.df.select("rep"))
-    texts = named_texts.join(wanted.df.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "text")
-    sets = Written(texts.mapInArrow(whole_sets, "class long, n long, tokens binary"))
+    texts = named_texts.join(wanted.df.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "text", "rows")
+    sets = Written(texts.mapInArrow(whole_sets, "class long, n long, tokens binary, rows long"))
     release(spark)
-    roots = components(class_links(sets.df, num, den, buckets))
-    joined = classes.select("class", "rep").join(roots, "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
-    homes = written(joined).select("class", "rep", "root")
+    links, counts = class_links(sets.df, num, den, buckets)
+    joined = classes.join(components(links), "class", "left").join(counts, "class", "left")
+    n_links = F.col("rows") - 1 + F.coalesce("others", F.lit(0))
+    homes = written(joined.select("class", "rep", F.coalesce("root", "class").alias("root"), n_links.alias("n_links")))
     smallest = homes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    home = homes.join(smallest, "root").select("class", "root", "component_id")
+    home = homes.join(smallest, "root").select("class", "root", "component_id", "n_links")
     out = described.select("doc_id", "tag", "class", F.col("n").alias("n_shingles")).join(home, "class", "left")
     named_row = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return out.select("doc_id", "n_shingles", F.when(named_row, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "tag", F.when(named_row, F.col("root")).alias("root"))
+    return out.select("doc_id", "n_shingles", F.when(named_row, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(named_row, F.col("n_links")).otherwise(0).alias("n_links"), "tag", F.when(named_row, F.col("root")).alias("root"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -119,3 +119,27 @@ def test_components(spark):
 def test_query(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in queries.op5_jaccard_join(spark, small).collect()) == plain(rows, 3, 90, 100)
+
+
+def links_of(rows, n, num, den):
+    """Each row's number of other rows that it is linked with."""
+    sets = []
+    for d, t in rows:
+        w = (t or "").translate(LOWER).encode().split()
+        sets.append(set() if d is None else {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} - {()})
+    found = [0] * len(rows)
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+            found[a] += 1
+            found[b] += 1
+    return sorted((d or -1, k) for (d, _), k in zip(rows, found))
+
+
+@pytest.mark.parametrize("small,block", [(6, 4096), (6, 10), (1, 10), (1000, 4096)])
+def test_all_links_are_counted(docs, monkeypatch, small, block):
+    monkeypatch.setattr(j, "RARE", 8)
+    monkeypatch.setattr(j, "SMALL", small)
+    monkeypatch.setattr(j, "BLOCK_CLASSES", block)
+    rows = corpus(5) + corpus(6)[:30] + [(None, "xyz"), (7, None), (8, "")]
+    got = sorted((r.doc_id or -1, r.n_links) for r in j.linked(docs(*rows), 5, 80, 100).collect())
+    assert got == links_of(rows, 5, 80, 100)
