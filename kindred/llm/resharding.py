@@ -138,10 +138,15 @@ def reshard(sized: DataFrame, shards: int, old_shards: int, blocks: int = 256, g
     return big.unionByName(moved.select(*key, shard.alias("shard")))
 
 
+def _named(id_col: str, text_col: str) -> list:
+    """The columns that tell documents apart: doc_id, size, text_crc32."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")]
+
+
 def documents_sized(docs: DataFrame, old_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32 and old_shard, the shard that a hash of the id names."""
-    raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(old_shards)).cast("int").alias("old_shard"))
+    return docs.select(*_named(id_col, text_col), F.pmod(F.xxhash64(F.col(id_col)), F.lit(old_shards)).cast("int").alias("old_shard"))
 
 
 def assignment(docs: DataFrame, shards: int = 40, old_shards: int = 32) -> DataFrame:
@@ -150,9 +155,10 @@ def assignment(docs: DataFrame, shards: int = 40, old_shards: int = 32) -> DataF
     return ranked(written(reshard(sized, shards, old_shards)), ["shard"], ["doc_id", "size", "text_crc32"], "slot")
 
 
-def rewrite(spark: SparkSession, manifest: dict[int, str], placed: DataFrame, target: str, id_col: str = "doc_id") -> dict[int, str]:
+def rewrite(spark: SparkSession, manifest: dict[int, str], placed: DataFrame, target: str, id_col: str = "doc_id", text_col: str = "text") -> dict[int, str]:
     """Write anew only the shards that documents leave or enter. ``manifest`` has the Parquet folder of each old shard;
-    ``placed`` has doc_id, old_shard and shard. Returns the new manifest, also written to ``target``/manifest after all
+    ``placed`` has a row for each document: doc_id, old_shard, shard and, to tell apart documents that share an id, size and
+    text_crc32. Twins that it names alike are shared out by number, so that each row is written once. Returns the new manifest, also written to ``target``/manifest after all
     files, so that a reader never sees half a rewrite; files of unaffected shards stay where they are."""
     moves = placed.filter("shard != old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct().collect()
     affected = {r.s for r in moves}
@@ -160,9 +166,23 @@ def rewrite(spark: SparkSession, manifest: dict[int, str], placed: DataFrame, ta
     out = {s: p for s, p in manifest.items() if s in known and s not in affected}
     sources = [manifest[s] for s in sorted(affected & set(manifest))]
     if sources:
-        homes = placed.filter(F.col("old_shard").isin(*affected)).select(F.col("doc_id").alias("__k"), F.col("shard").alias("__shard")).distinct()
+        key = [c for c in ("doc_id", "size", "text_crc32") if c in placed.columns]
+        counts = placed.filter(F.col("old_shard").isin(*affected)).groupBy(*key, "shard").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*key).orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        homes = counts.withColumn("to", upto).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("to", "shard"))).alias("__ends"))
+        homes = homes.select(*(F.col(c).alias(f"__of_{c}") for c in key), "__ends")
         docs = spark.read.parquet(*sources)
-        rows = docs.join(homes, docs[id_col].eqNullSafe(homes["__k"]), "left").drop("__k")
+        names = dict(zip(("doc_id", "size", "text_crc32"), _named(id_col, text_col)))
+        rows = docs.select("*", *(names[c].alias(f"__{c}") for c in key))
+        same = [F.col(f"__{c}").eqNullSafe(F.col(f"__of_{c}")) for c in key]
+        rows = rows.join(homes, same, "left").drop(*(f"__of_{c}" for c in key))
+        # Only twins with several homes are numbered.
+        several = F.coalesce(F.size("__ends"), F.lit(0)) > 1
+        twins = written(rows.filter(several).withColumn("__row", F.monotonically_increasing_id()))
+        numbered = ranked(twins, [f"__{c}" for c in key], ["__row"], "__rank")
+        own = F.coalesce(F.try_element_at(F.filter("__ends", lambda e: F.col("__rank") < e["to"]), F.lit(1))["shard"], F.try_element_at("__ends", F.lit(-1))["shard"])
+        rest = rows.filter(~several).select(*docs.columns, F.try_element_at("__ends", F.lit(1))["shard"].alias("__shard"))
+        rows = rest.unionByName(numbered.select(*docs.columns, own.alias("__shard")))
         rows.repartition("__shard").write.partitionBy("__shard").parquet(f"{target}/shards")
         out |= {s: f"{target}/shards/__shard={s}" for s in sorted(affected & known)}
     spark.createDataFrame([(json.dumps({str(k): v for k, v in sorted(out.items())}),)], "value string").coalesce(1).write.text(f"{target}/manifest")

@@ -66,6 +66,21 @@ def test_rewrite_leaves_other_files(spark, docs, tmp_path):
     assert sorted(x.doc_id for x in spark.read.parquet(got[0]).collect()) == list(range(10, 20))
 
 
+def test_rewrite_writes_each_row_once(spark, docs, tmp_path):
+    rows = [(1, "a"), (1, "bb"), (2, "same"), (2, "same"), (2, "same"), (None, "x"), (None, "yy"), (None, "x"), (3, None), (4, "z")]
+    homes = [0, 1, 0, 2, 2, 1, 2, 0, 1, 0]
+    df = docs(*rows)
+    df.coalesce(1).write.parquet(str(tmp_path / "old"))
+    placed = r.documents_sized(df, 1).collect()
+    placed = spark.createDataFrame([(p.doc_id, p.size, p.text_crc32, 0, h) for p, h in zip(placed, homes)], "doc_id long, size long, text_crc32 long, old_shard int, shard int")
+    got = r.rewrite(spark, {0: str(tmp_path / "old")}, placed, str(tmp_path / "new"))
+    found = sorted((k, x.doc_id or 0, x.text or "") for k in got for x in spark.read.parquet(got[k]).collect())
+    assert found == sorted((h, d or 0, t or "") for (d, t), h in zip(rows, homes))
+    by_id = r.rewrite(spark, {0: str(tmp_path / "old")}, placed.drop("size", "text_crc32"), str(tmp_path / "by_id"))
+    found = sorted((x.doc_id or 0, x.text or "") for k in by_id for x in spark.read.parquet(by_id[k]).collect())
+    assert found == sorted((d or 0, t or "") for d, t in rows)
+
+
 def test_query(spark, small):
     rows = queries.op10_resharding(spark, small).collect()
     texts = {x.doc_id: (x.text or "").encode() for x in spark.read.parquet(f"{small}/documents.parquet").collect()}
