@@ -124,11 +124,11 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` as the mix has them: a row for each copy that it takes."""
     plan = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = written(plan.groupBy(F.col("doc_id").alias("__kindred_id"), F.col("draw").alias("__kindred_drawn")).agg(F.sum("copies").alias("__kindred_copies"), F.count(F.lit(1)).alias("__kindred_rows")))
+    copies = written(plan.groupBy(F.col("doc_id").alias("__kindred_id"), F.col("source").alias("__kindred_source"), F.col("draw").alias("__kindred_drawn")).agg(F.sum("copies").alias("__kindred_copies"), F.count(F.lit(1)).alias("__kindred_rows")))
     rows = docs.withColumn("__kindred_draw", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
     if not copies.filter("__kindred_rows > 1").isEmpty():
-        rows = rows.dropDuplicates([id_col, "__kindred_draw"])  # twins, whose copies are counted together
+        rows = rows.dropDuplicates([id_col, source_col, "__kindred_draw"])  # twins, whose copies are counted together
     wanted = copies.filter("__kindred_copies > 0").drop("__kindred_rows")
-    on = rows[id_col].eqNullSafe(wanted["__kindred_id"]) & (rows["__kindred_draw"] == wanted["__kindred_drawn"])
+    on = rows[id_col].eqNullSafe(wanted["__kindred_id"]) & rows[source_col].eqNullSafe(wanted["__kindred_source"]) & (rows["__kindred_draw"] == wanted["__kindred_drawn"])
     each = F.explode(F.array_repeat(F.lit(1), F.col("__kindred_copies").cast("int"))).alias("__kindred_copy")
     return rows.join(wanted, on).select(*docs.columns, each).drop("__kindred_copy")

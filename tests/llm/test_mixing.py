@@ -65,6 +65,17 @@ def test_mixed_table_has_the_copies(docs):
     assert got == {k: v for k, v in plan.items() if v}
 
 
+def test_equal_rows_of_several_sources_keep_theirs(docs):
+    rows = [(i, "w " * (i % 7 + 1), s) for i in range(30) for s in ("a", "b", None)] + [(None, "w w", "a"), (None, "w w", "b"), (3, "w " * 4, "b")]
+    df = docs(*rows)
+    want, got = {}, {}
+    for r in m.mix(df).collect():
+        want[r.source, r.doc_id] = want.get((r.source, r.doc_id), 0) + r.size * r.copies
+    for r in m.mixed(df).collect():
+        got[r.source, r.doc_id] = got.get((r.source, r.doc_id), 0) + len(r.text.split())
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_query(spark, small):
     rows = queries.op3_mixing(spark, small).collect()
     sources = {r.doc_id: r.source for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
