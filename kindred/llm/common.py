@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import hashlib
+import re
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,11 +23,17 @@ from ..session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a
+    folder of its own; on a cluster that is an error, since executors would write to their own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="kindred-checkpoint-")
+        if known.isDefined():
+            folder = known.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            folder = "file://" + tempfile.mkdtemp(prefix="kindred-checkpoint-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -70,17 +82,74 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-class Written:
+@cache
+def _malloc_trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give memory that this worker has freed back to the system; a reused worker else keeps its peak for the next stage."""
+    pa.default_memory_pool().release_unused()
+    if own := _malloc_trim():
+        own(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which the worker gives back what it has freed."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
+
+
+_scopes: list[list[Folder]] = []
+
+
+class Folder:
+    """A new folder inside the shared one. It goes with :meth:`drop`, with the innermost :class:`scope` around, or when
+    the application ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{_app_dir(spark)}/{uuid.uuid4().hex}"
+        if _scopes:
+            _scopes[-1].append(self)
+
+    def drop(self) -> None:
+        delete(self.spark, self.path)
+
+
+class Written(Folder):
     """A DataFrame written to the shared folder as Parquet: it cuts lineage and survives lost executors."""
 
     def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        self.path = f"{_app_dir(self.spark)}/{uuid.uuid4().hex}"
+        super().__init__(df.sparkSession)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        delete(self.spark, self.path)
+
+class scope:
+    """Inside ``with scope() as s`` all intermediates are the scope's; it drops them at its end, but for what
+    ``s.keep(df)`` writes. What is still to be read from them has to be written by then."""
+
+    def __enter__(self) -> scope:
+        _scopes.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> Written:
+        out = Written(df)
+        _scopes[-1].remove(out)
+        if len(_scopes) > 1:
+            _scopes[-2].append(out)
+        return out
+
+    def __exit__(self, *_) -> None:
+        for w in _scopes.pop():
+            w.drop()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -103,6 +172,78 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str, buckets:
     return out.select(*[left[c] for c in left.columns if c not in (rank, cell)], (left[rank] + offsets["__kindred_before"]).alias(rank))
 
 
+#: Hashed entries are dealt out to so many ranges at most; a range of more text than a bucket's is cut where it arrives.
+MOST_RANGES = 1 << 15
+#: Text bytes for each bucket of hashes; a bucket is worked on at once.
+BUCKET_BYTES = 16 << 20
+#: Entries that a task holds before it packs and sends them.
+HELD, MOST_HELD = 1 << 18, 1 << 21
+
+
+class Buckets:
+    """Entries dealt out by their hashes: columns of numbers (``kinds``: name and type, one of them ``hashes``), packed by
+    range. So many ranges are there that each holds BUCKET_BYTES of text or they are MOST_RANGES; then every range is cut
+    into ``fine`` buckets by the task that gets it, so that rows stay packed however large the input is."""
+
+    def __init__(self, size: int, kinds: dict[str, str]):
+        wanted = max(12, size // BUCKET_BYTES)
+        self.ranges, self.kinds = int(min(wanted, MOST_RANGES)), kinds
+        self.fine = -(-wanted // self.ranges)
+        self.held = int(min(max(HELD, 32 * self.ranges), MOST_HELD))
+
+    @property
+    def schema(self) -> str:
+        return "bucket int, " + ", ".join(f"{k} binary" for k in self.kinds)
+
+    def _packed(self, key: np.ndarray, columns: dict[str, np.ndarray], most: int) -> tuple[list[int], list[pa.Array]]:
+        order = np.argsort(key.astype(np.uint16) if most <= 1 << 16 else key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        cut = np.append(first, len(key)).tolist()
+        sorted_ = [columns[k].astype(t, copy=False)[order] for k, t in self.kinds.items()]
+        return key[first].tolist(), [pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for c in sorted_]
+
+    def pack(self, **columns: np.ndarray) -> pa.RecordBatch:
+        ids, packed = self._packed((columns["hashes"] >> np.uint64(40)).astype(np.int64) % self.ranges, columns, self.ranges)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *packed], ["bucket", *self.kinds])
+
+    def _unpacked(self, table) -> dict[str, np.ndarray]:
+        return {k: np.concatenate([np.empty(0, t), *(np.frombuffer(x.as_buffer(), t) for x in table.column(k))]) for k, t in self.kinds.items()}
+
+    def answered(self, rows: DataFrame, answer: Callable[..., pa.Table], schema: str) -> DataFrame:
+        """What ``answer`` makes of the columns of each bucket of ``rows`` (of :meth:`pack`)."""
+
+        def whole(table: pa.Table) -> pa.Table:
+            out = answer(**self._unpacked(table))
+            trim()
+            return out
+
+        if self.fine == 1:
+            return rows.groupBy("bucket").applyInArrow(whole, schema)
+
+        def cut(batches):
+            for b in batches:
+                for i, bucket in enumerate(b.column(0).to_pylist()):
+                    columns = self._unpacked(b.slice(i, 1))
+                    ids, packed = self._packed((columns["hashes"] >> np.uint64(20)).astype(np.int64) % (1 << 20) % self.fine, columns, self.fine)
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(ids), pa.int32()), pa.array(ids, pa.int32()), *packed], ["bucket", "cut", *self.kinds])
+
+        def each(batches):
+            key, held = None, []
+            for b in batches:
+                for i, own in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                    if held and own != key:
+                        yield from whole(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    key = own
+                    held.append(b.slice(i, 1))
+            if held:
+                yield from whole(pa.Table.from_batches(held)).to_batches()
+
+        parts = rows.repartition("bucket").mapInArrow(lean(cut), self.schema.replace("bucket int", "bucket int, cut int"))
+        return parts.sortWithinPartitions("bucket", "cut").mapInArrow(lean(each), schema)
+
+
 #: Bits of a filter of ids at most: 8 MB, however many ids there are.
 FILTER_BITS = 1 << 26
 
@@ -123,12 +264,13 @@ def only_likely(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 
 
 #: Odd multipliers of the word and window hashes.
-BYTE_BASE, WINDOW_BASE, MIX_A, MIX_B = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+WINDOW_BASE, MIX_A, MIX_B = 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64)}
+#: What keeps the first 0 to 8 bytes of a little-endian lane.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -138,57 +280,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers[name]
-    if len(have) < n:
-        grown = np.full(max(n, 1 << 16), base, np.uint64)
-        grown[0] = 1
-        _powers[name] = have = np.multiply.accumulate(grown)
-    return have[:n]
-
-
 #: Whole texts are hashed a block at a time, so that the arrays made on the way stay small.
 BLOCK_BYTES = 1 << 20
 #: Every ASCII character that is neither letter nor digit, as a gap between words.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def word_hashes(texts: list[bytes], lower: bool = False, gaps: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
-    """For each text (UTF-8) the 64-bit hashes of its words, in order: the runs without ASCII white space, or without the
-    bytes that ``gaps`` marks. With ``prefixes``, each of these many first bytes of longer words follow, as further terms."""
-    out: list[np.ndarray] = []
+def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
     block, held = [], 0
     for t in texts:
         if block and held + len(t) > BLOCK_BYTES:
-            out += _word_hashes(block, lower, gaps, prefixes)
+            yield block
             block, held = [], 0
         block.append(t)
         held += len(t) + 1
-    return out + (_word_hashes(block, lower, gaps, prefixes) if block else [])
+    if block:
+        yield block
+
+
+def word_hashes(texts: list[bytes], lower: bool = False, gaps: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """For each text (UTF-8) the 64-bit hashes of its words, in order: the runs without ASCII white space, or without the
+    bytes that ``gaps`` marks. With ``prefixes``, each of these many first bytes of longer words follow, as further terms."""
+    out: list[np.ndarray] = []
+    for block in _blocks(texts):
+        parts = [np.split(hashes, np.searchsorted(rows, np.arange(1, len(block)))) for rows, hashes in _hashed(block, lower, gaps, prefixes)]
+        out += parts[0] if len(parts) == 1 else [np.concatenate(x) for x in zip(*parts)]
+    return out
+
+
+def flat_hashes(texts: list[bytes], lower: bool = False, gaps: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same hashes as (texts' places, hashes), some at a time."""
+    first = 0
+    for block in _blocks(texts):
+        for rows, hashes in _hashed(block, lower, gaps, prefixes):
+            yield rows + first, hashes
+        first += len(block)
+
+
+#: Words of more bytes have the hash of a digest, others are mixed in lanes of eight bytes.
+LONG_WORD = 64
 
 
-def _word_hashes(texts: list[bytes], lower: bool, gaps: np.ndarray, prefixes: tuple[int, ...]) -> list[np.ndarray]:
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+def _hashed(texts: list[bytes], lower: bool, gaps: np.ndarray, prefixes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    raw = np.frombuffer(b" ".join(texts) + b" " * (LONG_WORD + 8), np.uint8)
     bounds = np.cumsum([len(t) + 1 for t in texts])
     gap = gaps[raw]
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     edge = edge if gap[0] else np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
-    if not len(starts):
-        return [np.empty(0, np.uint64)] * len(texts)
-    # Each byte takes a mixed value times a power of its place in the word; a word's hash is their mixed sum.
+    row = np.searchsorted(bounds, starts, "right")
+    raw = _LOWER[raw] if lower else raw
+    lanes = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))  # the eight bytes from every place on
     lengths = ends - starts
-    place = np.flatnonzero(~gap) - np.repeat(starts, lengths)
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MIX_B))[(_LOWER[raw] if lower else raw)[~gap]]
-    values *= _power("up", BYTE_BASE, int(lengths.max()) + 1)[place]
-    heads = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    cuts = np.searchsorted(starts, bounds[:-1])
-    found = np.split(mix(np.add.reduceat(values, heads) + lengths.astype(np.uint64) * np.uint64(MIX_A)), cuts)
+    head = lanes[starts]
+    whole = mix((head & _FIRST[np.minimum(lengths, 8)]) ^ (lengths.astype(np.uint64) * np.uint64(MIX_A)))
+    own, k = np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD)), 8
+    while len(own):
+        whole[own] = mix(whole[own] * np.uint64(MIX_B) + (lanes[starts[own] + k] & _FIRST[np.minimum(lengths[own] - k, 8)]))
+        k += 8
+        own = own[lengths[own] > k]
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        whole[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    yield row, whole
     for n in prefixes:
-        longer = lengths > n
-        part = mix(np.add.reduceat(np.where(place < n, values, np.uint64(0)), heads)[longer] + np.uint64(n * MIX_B & 0xFFFFFFFFFFFFFFFF))
-        found = [np.concatenate(x) for x in zip(found, np.split(part, np.searchsorted(starts[longer], bounds[:-1])))]
-    return found
+        own = np.flatnonzero(lengths > n)
+        part = mix((head[own] & _FIRST[min(n, 8)]) ^ np.uint64(n * MIX_B & 0xFFFFFFFFFFFFFFFF))
+        for k in range(8, n, 8):
+            part = mix(part * np.uint64(MIX_B) + (lanes[starts[own] + k] & _FIRST[min(n - k, 8)]))
+        yield row[own], part
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

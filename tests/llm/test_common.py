@@ -43,3 +43,33 @@ def test_word_hashes_follow_the_words():
 def test_prefix_terms():
     a, b = c.word_hashes([b"stemone stemtwo", b"st stem"], prefixes=(4,))
     assert len(a) == 4 and len(b) == 2 and a[2] == a[3]
+
+
+def test_long_words_are_told_apart():
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo 2^64, whatever the odd base."""
+    for n in (64, 65, 1024, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        a, b = (bytes(97 + (x ^ y) for x in bits) for y in (0, 1))
+        (x,), (y,), (z,) = c.word_hashes([a, b, a])
+        assert x != y and x == z
+    (u,), (v,) = c.word_hashes([b"A" * 90, b"a" * 90], lower=True)
+    assert u == v
+
+
+def test_flat_hashes_are_the_same():
+    texts = [b"one two", b"", b"threefold fourteenth x", b"one"]
+    own = c.word_hashes(texts, prefixes=(4, 9))
+    flat = [[] for _ in texts]
+    for rows, hashes in c.flat_hashes(texts, prefixes=(4, 9)):
+        for i, h in zip(rows, hashes):
+            flat[i].append(h)
+    assert [list(x) for x in own] == flat
+
+
+def test_scopes_drop_what_they_wrote(spark):
+    with c.scope() as s:
+        inner = c.Written(spark.range(3))
+        kept = s.keep(inner.df)
+    assert kept.df.count() == 3
+    path = spark._jvm.org.apache.hadoop.fs.Path(inner.path)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

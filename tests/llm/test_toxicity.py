@@ -35,6 +35,35 @@ def test_pairs_are_learnt():
     assert np.abs(m.vectors).max() > 0.1
 
 
+def agreement(n, seed):
+    """Toxic is the agreement of two words, of which neither tells anything alone."""
+    random.seed(seed)
+    texts, labels = [], []
+    for _ in range(n):
+        words = [f"w{random.randrange(300)}" for _ in range(30)]
+        a, b = random.random() < 0.5, random.random() < 0.5
+        words += ["zorble"] * a + ["quintan"] * b
+        random.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append(int(a == b))
+    return texts, np.array(labels)
+
+
+def test_pairs_are_found_among_terms_that_tell_nothing_alone(spark, docs):
+    texts, y = agreement(3000, 5)
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)], "doc_id long, toxic int")
+    out = t.scored_documents(docs(*enumerate(texts)), labels).filter("held_out").collect()
+    assert len(out) > 400 and sum(r.predicted == y[r.doc_id] for r in out) / len(out) > 0.95
+
+
+def test_repeated_ids_do_not_pass_the_bound(spark, docs):
+    texts, y = corpus(300, 8)
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)], "doc_id long, toxic int")
+    once, often = docs(*enumerate(texts)), docs(*[(i, x) for i, x in enumerate(texts) for _ in range(3)])
+    a, b = (t.learn(df, labels.unionByName(labels)) for df in (once, often))
+    assert a.bias == b.bias and np.array_equal(a.weights, b.weights)
+
+
 def test_scores_by_definition():
     m = t.Machine(np.array([3, 9], np.int32), -1.0, np.array([0.5, 0.25]), np.array([[1.0, 2.0], [0.5, -1.0]]))
     z = [-1, -1 + 0.5, -1 + 0.75 + (0.5 - 2.0)]
