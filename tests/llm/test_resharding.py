@@ -52,33 +52,55 @@ def test_rows_of_any_kind(docs):
     assert r.assignment(df.limit(0)).collect() == []
 
 
+def located(spark, got):
+    return sorted((k, x.doc_id or 0, x.text or "") for k in got for x in spark.read.parquet(got[k]).collect())
+
+
 def test_rewrite_leaves_other_files(spark, docs, tmp_path):
     df = docs(*((i, "t" * (i % 9)) for i in range(40)))
     old = F.when(F.col("doc_id") < 20, 0).when(F.col("doc_id") < 30, 1).otherwise(2)
-    manifest = {}
+    manifest, sizes = {}, {}
     for k in range(3):
         manifest[k] = str(tmp_path / f"old{k}")
         df.filter(old == k).write.parquet(manifest[k])
-    placed = df.select("doc_id", old.alias("old_shard"), F.when(F.col("doc_id") < 10, 3).otherwise(old).alias("shard"))
-    got = r.rewrite(spark, manifest, placed, str(tmp_path / "new"))
+        sizes[k] = sum(16 + len(x.text) for x in df.filter(old == k).collect())
+    rows = r.named(r.of_manifest(spark, manifest), F.col(r.OLD))
+    capacity = [sizes[0] // 2, sizes[1], sizes[2], sizes[0] - sizes[0] // 2]
+    plan = r.plan(rows, capacity, blocks=4, grain=1)
+    got = r.rewrite(rows, plan, str(tmp_path / "new"), manifest)
     assert {got[k] for k in (1, 2)} == {manifest[1], manifest[2]} and set(got) == {0, 1, 2, 3}
-    assert sorted(x.doc_id for x in spark.read.parquet(got[3]).collect()) == list(range(10))
-    assert sorted(x.doc_id for x in spark.read.parquet(got[0]).collect()) == list(range(10, 20))
+    assert sorted(x[1:] for x in located(spark, got)) == sorted((x.doc_id, x.text) for x in df.collect())
+    for k in (0, 3):
+        assert abs(sum(16 + len(x.text) for x in spark.read.parquet(got[k]).collect()) - capacity[k]) <= 24
+    assert spark.read.parquet(got[0]).columns == df.columns
 
 
-def test_rewrite_writes_each_row_once(spark, docs, tmp_path):
-    rows = [(1, "a"), (1, "bb"), (2, "same"), (2, "same"), (2, "same"), (None, "x"), (None, "yy"), (None, "x"), (3, None), (4, "z")]
-    homes = [0, 1, 0, 2, 2, 1, 2, 0, 1, 0]
+def test_rewrite_keeps_every_row_of_any_kind(spark, docs, tmp_path):
+    """Twins of one key are most of the rows, and ids are null or repeated with other texts."""
+    rows = [(None, "same")] * 300 + [(None, None)] * 30 + [(1, "a"), (1, "bb"), (1, "bb"), (2, None), (3, "")] + [(7, "large " * 300)] * 9 + [(i, "t" * (i % 23)) for i in range(100, 260)]
     df = docs(*rows)
-    df.coalesce(1).write.parquet(str(tmp_path / "old"))
-    placed = r.documents_sized(df, 1).collect()
-    placed = spark.createDataFrame([(p.doc_id, p.size, p.text_crc32, 0, h) for p, h in zip(placed, homes)], "doc_id long, size long, text_crc32 long, old_shard int, shard int")
-    got = r.rewrite(spark, {0: str(tmp_path / "old")}, placed, str(tmp_path / "new"))
-    found = sorted((k, x.doc_id or 0, x.text or "") for k in got for x in spark.read.parquet(got[k]).collect())
-    assert found == sorted((h, d or 0, t or "") for (d, t), h in zip(rows, homes))
-    by_id = r.rewrite(spark, {0: str(tmp_path / "old")}, placed.drop("size", "text_crc32"), str(tmp_path / "by_id"))
-    found = sorted((x.doc_id or 0, x.text or "") for k in by_id for x in spark.read.parquet(by_id[k]).collect())
-    assert found == sorted((d or 0, t or "") for d, t in rows)
+    named = r.named(df, r.by_hash(3))
+    plan = r.plan(named, 5, blocks=8, grain=4)
+    got = r.rewrite(named, plan, str(tmp_path / "new"))
+    assert sorted(x[1:] for x in located(spark, got)) == sorted((d or 0, t or "") for d, t in rows)
+    load = [sum(16 + len(t) for s, _, t in located(spark, got) if s == k) for k in range(5)]
+    assert max(load) - min(load) < 2 * (16 + 1800)
+    moved = plan.affected()
+    assert moved and max(moved) <= 4
+
+
+def test_cuts_move_no_more_than_the_flow(spark, docs):
+    df = docs(*((i, "t" * (i * 7 % 50)) for i in range(3000)))
+    named = r.named(df, r.by_hash(6))
+    out = r.plan(named, 8, blocks=16).place(named).collect()
+    supply, room = [0] * 6, [0] * 8
+    for x in out:
+        supply[x[r.OLD]] += x[r.SIZE]
+        room[x[r.SHARD]] += x[r.SIZE]
+    capacity = r.even(sum(supply), 8)
+    least = sum(max(0, s - c) for s, c in zip(supply, capacity))
+    assert all(abs(a - b) <= 3 * 66 for a, b in zip(room, capacity))
+    assert abs(sum(x[r.SIZE] for x in out if x[r.OLD] != x[r.SHARD]) - least) <= 16 * 66
 
 
 def test_query(spark, small):
