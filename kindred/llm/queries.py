@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gif_media, jaccard_join, mixing, packing, reply_trees, resharding, secret_scan, spot_signatures, substring_dedup, toxicity
-from .common import written
+from .oracles import ORACLES as ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,9 @@ def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    messages = written(reply_trees.chain(table.unionByName(probe), "conv_id", "turn", "role", "text"))
-    out = reply_trees.digest(reply_trees.segments(messages, reply_trees.branches(messages)))
+    nodes, texts = reply_trees.chain(table.unionByName(probe), "conv_id", "turn", "role", "text")
+    conversations = reply_trees.joined(reply_trees.segments(texts, reply_trees.branches(nodes, top=1)))
+    out = reply_trees.digest(conversations, in_order=True)
     return out.select(F.expr("cast(nullif(tree, '') as long)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
@@ -60,4 +61,3 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_mixing, op4_substring_dedup, op5_jaccard_join, op6_best_fit_packing, op7_gif_media, op8_spot_signatures, op9_reply_trees, op10_resharding)}
-ORACLES: dict[str, str] = {}

@@ -3,7 +3,8 @@ paths, branches are ranked by score, and each chosen path is formatted as one co
 
 A tree of depth d takes about log2(d) rounds, each an equi-join on node ids. A message whose parent is
 missing or null is a root; a cycle raises an error. The template marks turns; control strings inside a text
-or a role get a backslash, which reading takes out again. Null texts and roles count as empty; rows of equal
+or a role get a backslash, which reading takes out again. A conversation is written in parts of whole turns, a single
+one unless it is long, so that no task holds more of it than a part. Null texts and roles count as empty; rows of equal
 order are put in order by role and text, repeated rows are repeated turns; a null tree id is a tree of its
 own; empty tables give empty results. Only the columns named are read.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Written
+from .common import Written, lean
 
 # The template.
 START, STOP, LOSS_ROLE = "<|im_start|>", "<|im_end|>\n", "assistant"
@@ -45,16 +46,24 @@ def unescape_role(s: str) -> str:
     return re.sub(r"<\\(\\*)(n?)\|", r"<\1\2|", s.replace("<n|", "\n"))
 
 
-def chain(messages: DataFrame, tree: str, order: str, role: str, text: str) -> DataFrame:
-    """Messages without parents as trees: each row replies to the one before it in ``order``."""
+def chain(messages: DataFrame, tree: str, order: str, role: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Messages without parents as trees, each row replying to the one before it in ``order``: (tree, node, parent, score) and
+    (tree, node, role, text). An answer scores 1. Rows are dealt out by ranges of (tree, order), so that a conversation
+    of most rows is many tasks' work; only the first row of each of its ranges looks for its parent elsewhere."""
     clean = messages.select(
         F.coalesce(F.col(tree).cast("string"), F.lit("")).alias("tree"),
         F.col(order).alias("at"),
         F.coalesce(role, F.lit("")).alias("role"),
         F.coalesce(text, F.lit("")).alias("text"),
     )
-    node = F.row_number().over(Window.partitionBy("tree").orderBy("at", "role", "text")).cast("long")
-    return clean.select("tree", node.alias("node"), F.when(node > 1, node - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    dealt = clean.repartitionByRange("tree", "at").sortWithinPartitions("tree", "at", "role", "text")
+    rows = Written(dealt.select("tree", F.monotonically_increasing_id().alias("node"), "role", "text")).df
+    nodes = rows.select("tree", "node", (F.col("role") == LOSS_ROLE).cast("double").alias("score"))
+    ranges = nodes.groupBy("tree", F.shiftright("node", 33).alias("range")).agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    firsts = ranges.select("tree", "node", F.lit(True).alias("first"), F.lag("last").over(Window.partitionBy("tree").orderBy("range")).alias("before"))
+    parent = F.when(F.col("first"), F.col("before")).otherwise(F.col("node") - 1)
+    linked = nodes.join(firsts, ["tree", "node"], "left").select("tree", "node", parent.alias("parent"), "score")
+    return Written(linked).df, rows
 
 
 def branches(messages: DataFrame, top: int | None = None) -> DataFrame:
@@ -108,15 +117,43 @@ def segments(messages: DataFrame, paths: DataFrame) -> DataFrame:
     )
 
 
-def joined(parts: DataFrame) -> DataFrame:
-    """(tree, leaf, text, mask): one row for a conversation; mask has [start, end) of the texts under the loss mask."""
-    sizes = F.transform("parts", lambda p: F.length(p["segment"]).cast("long"))
-    rows = parts.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", "segment", "loss", "content_start", "content_chars"))).alias("parts"))
-    before = rows.withColumn("sizes", sizes).withColumn(
-        "spans", F.transform("parts", lambda p, i: F.struct(p["loss"].alias("loss"), (F.aggregate(F.slice("sizes", 1, i), F.lit(0).cast("long"), lambda a, x: a + x) + p["content_start"]).alias("start"), p["content_chars"].alias("chars")))
-    )
-    mask = F.transform(F.filter("spans", lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["chars"]).alias("end")))
-    return before.select("tree", "leaf", F.array_join(F.transform("parts", lambda p: p["segment"]), "").alias("text"), mask.alias("mask"))
+#: Code points after which a conversation's next turn begins a new part.
+PART = 1 << 20
+JOINED = "tree string, leaf long, part int, start long, text string, mask array<struct<start:long,end:long>>"
+
+
+def joined(parts: DataFrame, part_chars: int = PART) -> DataFrame:
+    """The conversations of ``parts`` (from :func:`segments`): (tree, leaf, part, start, text, mask), a row for each
+    conversation, or for each ``part_chars`` of a long one. A part has whole turns and begins at ``start`` of its
+    conversation; mask has [start, end) there of the texts under the loss mask. Rows come in order."""
+    mask_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), mask_type]
+    names = [c.split()[0] for c in JOINED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part, start, at, texts, mask = None, 0, 0, 0, [], []
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                fresh = (row["tree"], row["leaf"]) != key
+                if texts and (fresh or at - start >= part_chars):
+                    out.append((*key, part, start, "".join(texts), mask))
+                    part, start, texts, mask = part + 1, at, [], []
+                if fresh:
+                    key, part, start, at = (row["tree"], row["leaf"]), 0, 0, 0
+                if row["loss"]:
+                    first = at + row["content_start"]
+                    mask.append({"start": first, "end": first + row["content_chars"]})
+                texts.append(row["segment"])
+                at += len(row["segment"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+        if texts:
+            last = (*key, part, start, "".join(texts), mask)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(last, types)], names)
+
+    slim = parts.select("tree", "leaf", "place", "segment", "loss", "content_start", "content_chars")
+    return slim.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "place").mapInArrow(lean(run), JOINED)
 
 
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(STOP), re.DOTALL)
@@ -137,9 +174,10 @@ def parse(text: str) -> list[tuple[str, str]]:
 DIGEST = "tree string, leaf long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def digest(parts: DataFrame) -> DataFrame:
-    """Each conversation read back, turn by turn in order: a task holds one turn and the states of two digests,
-    however long a conversation is."""
+def digest(conversations: DataFrame, in_order: bool = False) -> DataFrame:
+    """Each conversation (of :func:`joined`) read back: its turns by the template, and the texts under the loss mask by its
+    places. A task holds one part and the states of two digests, however long a conversation is. ``in_order`` says
+    that rows come as :func:`joined` yields them; others, as from files, are put in order first."""
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     names = [c.split()[0] for c in DIGEST.split(", ")]
 
@@ -152,12 +190,12 @@ def digest(parts: DataFrame) -> DataFrame:
                     if key is not None:
                         out.append((*key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
                     key, n, turns, loss_chars, loss, chars = (row["tree"], row["leaf"]), 0, hashlib.sha256(), 0, hashlib.sha256(), 0
-                chars += len(row["segment"])
-                for role, text in parse(row["segment"]):
+                chars += len(row["text"])
+                for role, text in parse(row["text"]):
                     n += 1
                     turns.update(f"{role}\n{text}\n".encode())
-                if row["loss"]:
-                    own = unescape_text(row["segment"][row["content_start"] : row["content_start"] + row["content_chars"]])
+                for span in row["mask"]:
+                    own = unescape_text(row["text"][span["start"] - row["start"] : span["end"] - row["start"]])
                     loss_chars += len(own)
                     loss.update(own.encode())
             if out:
@@ -166,5 +204,5 @@ def digest(parts: DataFrame) -> DataFrame:
             last = (*key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars)
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(last, types)], names)
 
-    slim = parts.select("tree", "leaf", "place", "segment", "loss", "content_start", "content_chars")
-    return slim.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "place").mapInArrow(run, DIGEST)
+    rows = conversations if in_order else conversations.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "part")
+    return rows.select("tree", "leaf", "start", "text", "mask").mapInArrow(lean(run), DIGEST)

@@ -3,10 +3,11 @@ content words after it, and what common words lie between, is a spot signature.
 set of hashed signatures; sets are partitioned by length and compared by Jaccard similarity, pruned by length and prefix.
 
 Texts are lower-cased and read as runs of letters and digits. The start of a text is an anchor too, so that texts
-without common words have signatures; a text without content words has one signature, its words. Null texts count as
-empty; empty texts have equal fingerprints; texts of any length are read whole; documents in order are those in
-ascending (id, hash of the text), a null id first, and repeated rows follow one another; the last one's next document
-is the first, which is itself in a table of one; an empty table gives an empty result; other columns are not read.
+without common words have signatures; a text without content words has one signature, its words. A signature is known by
+the first 64 bits of its MD5, as 16 hex digits. Null texts count as empty; empty texts have equal fingerprints; texts of any
+length are read whole; ids are numbers, any of their type; documents in order are those in ascending (id, hash of the
+text), a null id first, and repeated rows follow one another; the last one's next document is the first, which is itself
+in a table of one; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ COMMON = {
     "es": "al como con de del el en es ha la las lo los mi no para pero por que se su sus un una y",
 }
 CHAIN = 2
-#: Documents in order are dealt out in buckets of about so many.
+#: Documents in order are dealt out in buckets of about so many, by at most GRID * GRID quantiles of the id.
 BUCKET_ROWS = 2000
-TOP_BUCKETS = 128
+GRID = 32
 
 
 def _alternatives(words: list[str]) -> str:
@@ -45,15 +46,10 @@ def _pattern(chain: int) -> str:
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """The sorted set of a text's hashed spot signatures."""
+    """The sorted set of a text's spot signatures, each known by 16 hex digits."""
     words = F.concat(F.lit(" ^ "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     found = F.regexp_extract_all(words, F.lit(_pattern(chain)), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(words)), lambda s: F.hash(s))))
-
-
-def as_text(sets: Column) -> Column:
-    """A fingerprint: eight hex digits for each signature."""
-    return F.array_join(F.transform(sets, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), ",")
+    return F.array_sort(F.array_distinct(F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(words)), lambda s: F.substring(F.md5(s), 1, 16))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -61,29 +57,61 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared.cast("double"), (F.size(a) + F.size(b) - shared).cast("double")), F.lit(1.0))
 
 
+def _buckets(rows: DataFrame, id_col: str, tie_col: str) -> Column:
+    """The bucket of a row, a number that ascends with (id, tie): the quantile of the id, then the part of that quantile's
+    range, or of the ties of an id that fills quantiles alone."""
+    most = GRID * GRID
+    spread = rows.agg(F.count(F.lit(1)).alias("n"), F.count(id_col).alias("ids"), F.percentile_approx(id_col, [i / most for i in range(most + 1)], 100_000).alias("points")).first()
+    every = list(spread.points or [])
+    points = sorted(set(every))
+    fine = min(1 << 19, max(1, math.ceil(spread.n / (most * BUCKET_ROWS))))
+    times = {p: every.count(p) - 1 for p in points}
+    by_tie = lambda parts: F.least(F.floor((F.col(tie_col).cast("double") / 2.0**64 + 0.5) * parts), parts - 1).cast("long")
+    of_null = by_tie(F.lit(min(1 << 19, max(1, math.ceil((spread.n - spread.ids) / BUCKET_ROWS)))))
+    if not points:
+        return of_null
+    kind = rows.schema[id_col].dataType.simpleString()
+    listed = lambda values: "[" + ",".join(map(str, values)) + "]"
+    chunks = [points[i : i + GRID] for i in range(0, len(points), GRID)]
+    column = F.col(id_col)
+    chunk = F.greatest(F.size(F.filter(F.from_json(F.lit(listed(c[0] for c in chunks)), f"array<{kind}>"), lambda p: p <= column)), F.lit(1))
+    inside = F.element_at(F.from_json(F.lit(listed(map(listed, chunks))), f"array<array<{kind}>>"), chunk)
+    top = (chunk - 1) * GRID + F.greatest(F.size(F.filter(inside, lambda p: p <= column)), F.lit(1))
+    low = F.element_at(inside, top - (chunk - 1) * GRID).cast("double")
+    ends = [points[min(i + GRID, len(points) - 1)] for i in range(0, len(points), GRID)]
+    following = F.concat(F.slice(inside, 2, GRID), F.array(F.element_at(F.from_json(F.lit(listed(ends)), f"array<{kind}>"), chunk)))
+    high = F.element_at(following, top - (chunk - 1) * GRID).cast("double")
+    part = F.floor((column.cast("double") - low) * fine / F.greatest(high - low, F.lit(1.0)))
+    part = F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1)).cast("long")
+    hot = {p: t for p, t in times.items() if t > 0}
+    ties = F.lit(0).cast("long")
+    if hot:
+        known = F.create_map(*(x for p, t in hot.items() for x in (F.lit(p).cast(kind), F.lit(t * fine))))
+        parts = F.try_element_at(known, column)
+        ties = F.when(parts.isNotNull(), by_tie(parts))
+        part = F.when(parts.isNull(), part + 1).otherwise(F.lit(0).cast("long"))
+        ties = F.coalesce(ties, F.lit(0).cast("long"))
+    bucket = F.shiftleft(top.cast("long"), 40) + F.shiftleft(part, 20) + ties
+    return F.when(column.isNull(), of_null).otherwise(bucket)
+
+
 def with_next(rows: DataFrame, id_col: str, tie_col: str, carried: list[str]) -> DataFrame:
     """``rows`` with ``next``: the ``carried`` columns of the row that follows in ascending (id, tie), of the last the
     first. Rows are dealt out once, by ranges of the id; only a range's first row is sent to the range before."""
-    spread = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(id_col, [i / TOP_BUCKETS for i in range(TOP_BUCKETS + 1)], 100_000).alias("points")).first()
-    points = sorted(set(spread.points or []))
-    fine = max(1, math.ceil(spread.n / (TOP_BUCKETS * BUCKET_ROWS)))
-    if len(points) > 1:
-        known = F.array(*(F.lit(p).cast("long") for p in points))
-        top = F.greatest(F.size(F.filter(known, lambda p: p <= F.col(id_col))), F.lit(1))
-        low, high = F.element_at(known, F.least(top, F.lit(len(points) - 1))), F.element_at(known, F.least(top + 1, F.lit(len(points))))
-        part = F.floor((F.col(id_col) - low) * fine / F.greatest(high - low, F.lit(1)))
-        bucket = F.coalesce(top.cast("long") * fine + F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1)), F.lit(0).cast("long"))
-    else:
-        bucket = F.when(F.col(id_col).isNull(), 0).otherwise(1).cast("long")
+    bucket = _buckets(rows, id_col, tie_col)
     dealt = rows.withColumn("bucket", bucket).repartition("bucket")
     own = F.struct(*carried)
     inside = Window.partitionBy("bucket").orderBy(id_col, tie_col)
     followed = dealt.withColumn("next", F.lead(own).over(inside))
     # A row for each bucket: its first row, which the bucket before it needs.
     firsts = dealt.groupBy("bucket").agg(F.min_by(own, F.struct(F.col(id_col).isNotNull(), id_col, tie_col)).alias("first"))
-    order = Window.orderBy("bucket")
-    known_buckets = rows.select(bucket.alias("bucket")).distinct()
-    before = known_buckets.select(F.col("bucket").alias("before"), F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("bucket"))
+    known = rows.select(bucket.alias("bucket")).distinct().withColumn("top", F.shiftright("bucket", 40))
+    tops = known.groupBy("top").agg(F.min("bucket").alias("least"))  # a row for each quantile
+    order = Window.orderBy("top")
+    after = F.coalesce(F.lead("least").over(order), F.first("least").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    tops = tops.select("top", after.alias("after"))
+    within = known.withColumn("later", F.lead("bucket").over(Window.partitionBy("top").orderBy("bucket")))
+    before = within.join(F.broadcast(tops), "top").select(F.col("bucket").alias("before"), F.coalesce("later", "after").alias("bucket"))
     heads = firsts.join(before, "bucket").select(F.col("before").alias("bucket"), "first")
     return followed.join(heads, "bucket", "left").withColumn("next", F.coalesce("next", "first")).drop("first", "bucket")
 
@@ -100,20 +128,20 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN, id_col: str = "doc_id", te
     )
     both = edited.withColumn("edited_set", signatures(F.col("edited"), chain))
     return both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("set")).alias("fingerprint"), as_text(F.col("edited_set")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.array_join("set", ",").alias("fingerprint"), F.array_join("edited_set", ",").alias("edited_fingerprint"),
         jaccard(F.col("set"), F.col("edited_set")).alias("near_edited"), jaccard(F.col("set"), F.col("next_set")).alias("near_next"),
     )
 
 
 def similar(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(membership, pairs): the class of each document, documents of equal sets being a class named by its smallest id;
-    and every pair of classes (a, b, likeness) with a likeness of ``threshold`` or more.
+    """(membership, pairs): the class of each document, documents of equal sets being a class, named by a digest of the
+    set; and every pair of classes (a, b, likeness) with a likeness of ``threshold`` or more. Null ids are documents too.
 
     Sets are partitioned by length, a partition's lengths spanning a factor of 1/threshold, so that only a partition and the
     next one can meet. Of each set the rarest signatures are indexed, as many as a partner must share one of."""
-    sets = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), signatures(F.coalesce(F.col(text_col), F.lit("")), chain).alias("set"))
-    membership = sets.withColumn("class", F.min("doc_id").over(Window.partitionBy(F.sha2(F.array_join("set", ","), 256)))).select("doc_id", "class", "set")
-    classes = membership.filter("doc_id = class").select("class", "set").dropDuplicates(["class"])
+    sets = docs.select(F.col(id_col).alias("doc_id"), signatures(F.coalesce(F.col(text_col), F.lit("")), chain).alias("set"))
+    named = sets.withColumn("class", F.sha2(F.array_join("set", ","), 256))
+    classes = named.groupBy("class").agg(F.any_value("set").alias("set"))
     n = F.size("set")
     spot = classes.select("class", n.alias("n"), F.floor(F.log(n.cast("double")) / math.log(1 / threshold)).cast("int").alias("part"), F.explode("set").alias("spot"))
     rarity = spot.groupBy("spot").agg(F.count(F.lit(1)).alias("df"))
@@ -128,4 +156,4 @@ def similar(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN, id_col:
     candidates = left.join(right, ["part", "spot"]).filter(near).select("a", "b").distinct()
     of = lambda c: classes.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
     verified = candidates.join(of("a"), "a").join(of("b"), "b").select("a", "b", jaccard(F.col("set_a"), F.col("set_b")).alias("likeness"))
-    return membership.select("doc_id", "class"), verified.filter(F.col("likeness") >= threshold - 1e-9)
+    return named.select("doc_id", "class"), verified.filter(F.col("likeness") >= threshold - 1e-9)

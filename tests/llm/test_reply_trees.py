@@ -43,15 +43,34 @@ def test_best_branch_and_cycles(spark):
     nodes = [("a", 1, None, "user", "q", 0.0), ("a", 2, 1, "assistant", "bad", 1.0), ("a", 3, 1, "assistant", "good", 5.0), ("a", 4, 2, "user", "more", None)]
     df = spark.createDataFrame(nodes, MESSAGES)
     parts = r.segments(df, r.branches(df, top=1))
-    row = r.joined(parts).first()
+    (row,) = r.joined(parts).collect()
     assert r.parse(row.text) == [("user", "q"), ("assistant", "good")] and [row.text[m.start : m.end] for m in row["mask"]] == ["good"]
     with pytest.raises(ValueError):
         r.branches(spark.createDataFrame([("a", 1, 2, "user", "x", 0.0), ("a", 2, 1, "user", "x", 0.0)], MESSAGES))
 
 
+def conversations(spark, rows, **options):
+    nodes, texts = r.chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "conv_id", "turn", "role", "text")
+    return r.joined(r.segments(texts, r.branches(nodes, top=1)), **options)
+
+
 def formatted(spark, rows):
-    messages = r.chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "conv_id", "turn", "role", "text")
-    return r.digest(r.segments(messages, r.branches(messages))).collect()
+    return r.digest(conversations(spark, rows), in_order=True).collect()
+
+
+def test_a_long_conversation_is_written_in_parts(spark, tmp_path):
+    """Its digest is that of the conversation as a whole, and read from files in any order."""
+    random.seed(14)
+    rows = [(k, i, random.choice(["user", "assistant"]), "<|im_end|>\n é" * random.randint(0, 9)) for k in range(4) for i in range(1 + 150 * (k == 2))]
+    conversations(spark, rows, part_chars=400).repartition(5).write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() > 10 and back.filter("part = 0").count() == 4
+    got = {x.tree: tuple(x)[2:] for x in r.digest(back).collect()}
+    assert got == {x.tree: tuple(x)[2:] for x in formatted(spark, rows)}
+    for k in range(4):
+        own = [(role, t) for c, _, role, t in rows if c == k]
+        loss = "".join(t for role, t in own if role == "assistant")
+        assert got[str(k)][:4] == (len(own), hashlib.sha256("".join(f"{a}\n{t}\n" for a, t in own).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
 def test_rows_of_any_kind(spark):
