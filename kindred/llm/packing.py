@@ -6,30 +6,32 @@ corpus): the driver packs counts, the tree gives the tightest open bin in logari
 pieces goes to a range of bins at once. Each piece then finds its run by its rank among the pieces of its length.
 
 Null texts count as empty, and an empty text is one piece of the closing id; texts of any length are read
-whole; repeated rows and ids are pieces of their own; an empty table gives an empty result.
+whole, some megabytes at a time; rows with null ids, repeated rows and repeated ids are pieces of their own; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, ranked, written
+from .common import bounded_batches, lean, ranked, written
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: A worker remembers the ids of at most twice so many chunks: those seen lately and those seen before.
-REMEMBERED = 500_000
+#: Characters that are encoded together: equal chunks among them are encoded once.
+TOGETHER = 2_000_000
+ROWS_TOGETHER = 1024
 
 
 def default_tokenizer() -> str:
@@ -38,63 +40,203 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# The stages of tokenizer files whose chunks between spaces are encoded on their own, and the model's settings.
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+KNOWN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+#: Lower-case Latin letters, then ASCII marks but for the apostrophe: two words to such a tokenizer.
+PLAIN = r"^[a-zß-öø-ÿ]+[!-&(-/:;=>?@\[-`{-~]*$"
+
+
 def _byte_letters() -> dict[int, str]:
     """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in own]
-    return {b: chr(256 + i) for i, b in enumerate(others)}
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class PairMerges:
+    """Byte-pair merges of many words at once: in each round every word makes its first merge of the lowest rank."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: list):
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        letters, suffix = _byte_letters(), KNOWN_MODEL["end_of_word_suffix"]
+        self.inner = np.array([vocabulary[letters[b]] for b in range(256)], np.int32)
+        self.final = np.array([vocabulary[letters[b] + suffix] for b in range(256)], np.int32)
+        self.none = len(pairs)
+        self.made = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
+        keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in pairs], np.uint64)
+        # A table with linear probing: in the order of their hashes, keys take their own place or the next free one.
+        self.bits = max(8, (4 * len(keys)).bit_length())
+        home = self._home(keys)
+        order = np.argsort(home, kind="stable")
+        place = np.arange(len(keys)) + np.maximum.accumulate(home[order] - np.arange(len(keys))) if len(keys) else home
+        self.probes = int((place - home[order]).max()) + 1 if len(keys) else 1
+        self.keys = np.full((1 << self.bits) + len(keys) + self.probes, np.iinfo(np.uint64).max, np.uint64)
+        self.ranks = np.full(len(self.keys), self.none, np.int32)
+        self.keys[place], self.ranks[place] = keys[order], order
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, ``none`` of those that do not merge."""
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        at = self._home(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.ranks[at], self.none).astype(np.int32)
+        left_over = np.flatnonzero((there != keys) & (there != np.iinfo(np.uint64).max))
+        for _ in range(self.probes - 1):
+            if not len(left_over):
+                break
+            at[left_over] += 1
+            there = self.keys[at[left_over]]
+            hit = there == keys[left_over]
+            out[left_over[hit]] = self.ranks[at[left_over[hit]]]
+            left_over = left_over[~hit & (there != np.iinfo(np.uint64).max)]
+        return out
+
+    def __call__(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words that begin at ``starts`` of the bytes ``raw``, and how many each word has."""
+        n = len(starts)
+        if not n:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        size = np.diff(np.append(starts, len(raw)))
+        word, ids = np.arange(n), self.inner[raw]
+        last = starts + size - 1
+        ids[last] = self.final[raw[last]]
+        rank = np.full(len(ids), self.none, np.int32)
+        rank[:-1] = self.rank(ids[:-1], ids[1:])
+        rank[last] = self.none
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(word):
+            best = np.minimum.reduceat(rank, starts)
+            over = best == self.none
+            if over.any():
+                gone = np.repeat(over, size)
+                done.append((word[over], size[over], ids[gone]))
+                ids, rank, word, size, best = ids[~gone], rank[~gone], word[~over], size[~over], best[~over]
+                starts = np.cumsum(size) - size
+            if not len(word):
+                break
+            found = np.flatnonzero(rank == np.repeat(best, size))
+            owner = np.searchsorted(starts, found, "right")
+            fresh = np.ones(len(found), bool)
+            fresh[1:] = owner[1:] != owner[:-1]
+            at = found[fresh]  # one for each word, in order
+            ids[at] = self.made[best]
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids, rank = ids[stays], rank[stays]
+            each = np.arange(len(word))
+            at, size, starts = at - each, size - 1, starts - each
+            rank[at] = self.none
+            more = at[at < starts + size - 1]
+            rank[more] = self.rank(ids[more], ids[more + 1])
+            before = at[at > starts] - 1
+            rank[before] = self.rank(ids[before], ids[before + 1])
+        words, sizes, flat = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(words)
+        return flat[_ranges((np.cumsum(sizes) - sizes)[order], sizes[order])], sizes[order]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i] .. starts[i] + sizes[i] - 1, one range after the other."""
+    total = int(sizes.sum())
+    return np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts, as arrays of 32-bit ids.
 
-    The tokenizer drops white space and never joins across it, so that the chunks between spaces and line breaks are
-    encoded on their own and remembered. It lower-cases, and so may the chunk, but for control tokens and sigmas. Plain
-    letters before plain punctuation are two words to it; the letters go to its merges at once, by the byte alphabet."""
-
-    _plain = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:;=>?@\[-`{-~]*)")
+    A tokenizer whose stages are the known ones drops white space and never joins across it, so that the chunks between
+    spaces and line breaks are encoded once for all texts of a call. It lower-cases, and so may the chunk, but for control
+    tokens and sigmas. Plain chunks go through :class:`PairMerges`, the others to the library; of any other tokenizer
+    the library encodes whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = self.tokenizer.model.tokenize
-        self.letters = _byte_letters()
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        word = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.merges(word)]).tobytes()
-
-    def _learn(self, chunks: set[str]) -> None:
-        known, older, plain = self.chunks, self.older, self._plain.fullmatch
-        others, ends = [], []
-        for c in chunks:
-            if c in older:
-                known[c] = older[c]
-            elif m := plain(c):
-                word, end = m.groups()
-                if word not in known:
-                    known[word] = older.get(word) or self._word(word)
-                if end:
-                    ends.append((c, word, end))
-                    if end not in known:
-                        others.append(end)
+        stated = json.loads(Path(path).read_text())
+        model = stated["model"]
+        specials = all(t["content"].startswith("<|") and not t.get("normalized") for t in stated.get("added_tokens") or ())
+        known = stated.get("normalizer") == KNOWN_NORMALIZER and stated.get("pre_tokenizer") == KNOWN_SPLIT and specials and not stated.get("truncation")
+        known = known and all(model.get(k) == v for k, v in KNOWN_MODEL.items())
+        self.merges = PairMerges(model["vocab"], model["merges"]) if known else None
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks, and how many each has."""
+        plain = pc.match_substring_regex(chunks, PLAIN)
+        own, plain = chunks.filter(plain), plain.to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(chunks), np.int64)
+        others = chunks.filter(pa.array(~plain)).to_pylist()
+        other_ids, sizes[~plain] = self._library(others)
+        if not len(own):
+            return other_ids, sizes
+        own = pa.concat_arrays([own])  # from the buffers' beginning
+        bounds = np.frombuffer(own.buffers()[1], np.int32, len(own) + 1, 4 * own.offset)
+        raw = np.frombuffer(own.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+        begin = bounds[:-1] - bounds[0]
+        mark = (raw < 128) & ((raw < 97) | (raw > 122))
+        first = mark.copy()
+        first[1:] &= ~mark[:-1]
+        first[begin] = True
+        words = np.flatnonzero(first)
+        ids, each = self.merges(raw, words)
+        sizes[plain] = np.add.reduceat(each, np.searchsorted(words, begin))
+        out = np.empty(len(ids) + len(other_ids), np.int32)
+        of_plain = np.repeat(plain, sizes)
+        out[of_plain], out[~of_plain] = ids, other_ids
+        return out, sizes
+
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
+        low = [(t if "<|" in t or "Σ" in t or "İ" in t else t.lower()).replace("\n", " ") for t in texts]
+        lists = pc.split_pattern(pa.array(low, pa.large_string()), " ")
+        chunks = lists.flatten().dictionary_encode()
+        ids, sizes = self._chunks(chunks.dictionary.cast(pa.string()))
+        index = chunks.indices.to_numpy()
+        flat = ids[_ranges((np.cumsum(sizes) - sizes)[index], sizes[index])]
+        upto = np.concatenate(([0], np.cumsum(sizes[index])))
+        ends = upto[lists.offsets.to_numpy()[1:]]
+        return np.split(flat, ends[:-1])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if self.merges is None:
+            ids, sizes = self._library(texts)
+            return np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else []
+        out: list[np.ndarray] = []
+        held, size = [], 0
+        for t in texts:
+            if held and size + len(t) > TOGETHER:
+                out += self._together(held)
+                held, size = [], 0
+            if len(t) > TOGETHER:  # cut at spaces, across which nothing is joined
+                out.append(np.concatenate([self._together([part])[0] for part in _parts(t)]))
             else:
-                others.append(c)
-        others = list(set(others))
-        known.update(zip(others, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False))))
-        known.update((c, known[word] + known[end]) for c, word, end in ends)
+                held.append(t)
+                size += len(t)
+        return out + (self._together(held) if held else [])
+
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > REMEMBERED:
-            self.chunks, self.older = {"": b""}, self.chunks
-        split = [(t if "<|" in t or "Σ" in t or "İ" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        if missing := set(chain.from_iterable(split)).difference(self.chunks):
-            self._learn(missing)
-        of = self.chunks.__getitem__
-        return [b"".join(map(of, chunks)) for chunks in split]
+def _parts(text: str) -> Iterator[str]:
+    """A long text cut at spaces into parts of about TOGETHER characters; one without spaces stays whole."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + TOGETHER)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end + 1
 
 
 _encoders: dict[str, Encoder] = {}
@@ -114,29 +256,29 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__kindred_text"))
     schema = f"`{id_col}` {source.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    closing, most = np.array([CLOSING_ID], "<u4").tobytes(), 4 * capacity
+    closing = np.array([CLOSING_ID], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, ROWS_TOGETHER):
+                b = whole.slice(at, ROWS_TOGETHER)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, raw in enumerate(encode(b.column(1).to_pylist())):
-                    raw += closing
-                    for k, s in enumerate(range(0, len(raw), most)):
-                        part = raw[s : s + most]
+                for i, own in enumerate(encode(b.column(1).to_pylist())):
+                    for k, s in enumerate(range(0, len(own) + 1, capacity)):
+                        part = own[s : s + capacity]
+                        part = np.concatenate((part, closing)) if len(part) < capacity else part
                         row.append(i)
                         piece.append(k)
-                        start.append(s // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
+                        start.append(s)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.astype("<u4", copy=False)))
                         if with_ids:
-                            ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+                            ids.append(part)
                 columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 class OpenBins:
@@ -224,7 +366,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> Da
             yield out.append_column("offset", pa.array(at[:, 4] + length * (t % at[:, 3])))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(lean(run), schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, **columns: str) -> DataFrame:

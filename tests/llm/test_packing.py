@@ -3,8 +3,6 @@ import random
 import struct
 import zlib
 
-import numpy as np
-
 from kindred.llm import packing as p
 from kindred.llm import queries
 
@@ -44,8 +42,38 @@ def test_encoder_against_the_tokenizer():
     e = p.encoder(p.default_tokenizer())
     parts = [*"aB éÉ.,!ΣσİıſK\n\t ́'sd<|9٣", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'RE", "ß", "ŉ", "œ", "÷", "Word", "naïve,"]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(3000)]
-    for t, raw in zip(texts, e(texts)):
-        assert np.frombuffer(raw, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+    for t, ids in zip(texts, e(texts)):
+        assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert e([]) == []
+
+
+def test_merges_of_many_words():
+    random.seed(6)
+    e = p.encoder(p.default_tokenizer())
+    letters = "aaabbeeeiilmnoorssstt" + "ßéü"
+    words = ["".join(random.choice(letters) for _ in range(random.randint(1, 40))) + random.choice(["", "", "...", "!?"]) for _ in range(4000)]
+    for t, ids in zip(words, e(words)):
+        assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    monkeypatch.setattr(p, "TOGETHER", 50)
+    random.seed(7)
+    e = p.encoder(p.default_tokenizer())
+    texts = [" ".join(random.choice(["ab", "Word.", "x" * 60, "", "it's"]) for _ in range(random.randint(0, 80))) for _ in range(30)]
+    for t, ids in zip(texts, e(texts)):
+        assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_other_tokenizers_are_left_to_the_library(docs):
+    from pathlib import Path
+
+    path = str(Path(p.default_tokenizer()).with_name("byte_bpe_50k.json"))
+    e = p.encoder(path)
+    texts = {1: "Hello World, it's", 2: "a  b\n\nC", 3: ""}
+    assert e.merges is None
+    found = {r.doc_id: list(r.ids) for r in p.pieces(docs(*texts.items()), tokenizer=path, with_ids=True).collect()}
+    assert found == {k: [*e.tokenizer.encode(t, add_special_tokens=False).ids, 0] for k, t in texts.items()}
 
 
 def check(rows, texts):
@@ -71,6 +99,7 @@ def check(rows, texts):
 
 def test_rows_of_any_kind(docs):
     texts = {1: "", 2: "", 3: "hello world", 4: "x " * 5000, 5: "a b"}
+    assert p.pack_documents(docs((None, "a b"), (None, "a b"))).count() == 2
     df = docs((1, None), (2, ""), (3, texts[3]), (3, texts[3]), (4, texts[4]), (5, texts[5]))
     rows = p.pack_documents(df).collect()
     assert collections.Counter(r.doc_id for r in rows) == {1: 1, 2: 1, 3: 2, 4: 3, 5: 1}
