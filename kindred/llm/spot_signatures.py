@@ -52,6 +52,15 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(words)), lambda s: F.substring(F.md5(s), 1, 16))))
 
 
+def packed(sets: Column) -> Column:
+    """A set as bytes, eight for each signature: half of what its digits take where it is dealt out."""
+    return F.unhex(F.array_join(sets, ""))
+
+
+def unpacked(raw: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.hex(raw)), F.lit("(.{16})"), F.lit(1))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return F.coalesce(F.try_divide(shared.cast("double"), (F.size(a) + F.size(b) - shared).cast("double")), F.lit(1.0))
@@ -119,11 +128,11 @@ def with_next(rows: DataFrame, id_col: str, tie_col: str, carried: list[str]) ->
 def fingerprints(docs: DataFrame, chain: int = CHAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edit, whose last half is the next text's beginning, and their likeness."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"), signatures(text, chain).alias("set"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"), packed(signatures(text, chain)).alias("raw"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = with_next(rows, "doc_id", "tie", ["text", "set"]).select(
-        "doc_id", "set", n.cast("long").alias("n_chars"), F.col("next.set").alias("next_set"),
+    edited = with_next(rows, "doc_id", "tie", ["text", "raw"]).select(
+        "doc_id", unpacked(F.col("raw")).alias("set"), n.cast("long").alias("n_chars"), unpacked(F.col("next.raw")).alias("next_set"),
         F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("edited"),
     )
     both = edited.withColumn("edited_set", signatures(F.col("edited"), chain))
