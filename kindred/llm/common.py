@@ -181,13 +181,13 @@ HELD, MOST_HELD = 1 << 18, 1 << 21
 
 
 class Buckets:
-    """Entries dealt out by their hashes: columns of numbers (``kinds``: name and type, one of them ``hashes``), packed by
-    range. So many ranges are there that each holds BUCKET_BYTES of text or they are MOST_RANGES; then every range is cut
+    """Entries dealt out by a column ``by``, of hashes or of signed numbers: columns of numbers (``kinds``: name and type),
+    packed by range. So many ranges are there that each holds BUCKET_BYTES of text or they are MOST_RANGES; then every range is cut
     into ``fine`` buckets by the task that gets it, so that rows stay packed however large the input is."""
 
-    def __init__(self, size: int, kinds: dict[str, str]):
+    def __init__(self, size: int, kinds: dict[str, str], by: str = "hashes"):
         wanted = max(12, size // BUCKET_BYTES)
-        self.ranges, self.kinds = int(min(wanted, MOST_RANGES)), kinds
+        self.ranges, self.kinds, self.by = int(min(wanted, MOST_RANGES)), kinds, by
         self.fine = -(-wanted // self.ranges)
         self.held = int(min(max(HELD, 32 * self.ranges), MOST_HELD))
 
@@ -195,6 +195,11 @@ class Buckets:
     def schema(self) -> str:
         return "bucket int, " + ", ".join(f"{k} binary" for k in self.kinds)
 
+    def _key(self, columns: dict[str, np.ndarray], shift: int) -> np.ndarray:
+        own = columns[self.by]
+        own = own if own.dtype == np.uint64 else mix(own.astype(np.int64).view(np.uint64))
+        return (own >> np.uint64(shift)).astype(np.int64) & 0xFFFFFF
+
     def _packed(self, key: np.ndarray, columns: dict[str, np.ndarray], most: int) -> tuple[list[int], list[pa.Array]]:
         order = np.argsort(key.astype(np.uint16) if most <= 1 << 16 else key, kind="stable")
         key = key[order]
@@ -204,7 +209,7 @@ class Buckets:
         return key[first].tolist(), [pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for c in sorted_]
 
     def pack(self, **columns: np.ndarray) -> pa.RecordBatch:
-        ids, packed = self._packed((columns["hashes"] >> np.uint64(40)).astype(np.int64) % self.ranges, columns, self.ranges)
+        ids, packed = self._packed(self._key(columns, 40) % self.ranges, columns, self.ranges)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *packed], ["bucket", *self.kinds])
 
     def _unpacked(self, table) -> dict[str, np.ndarray]:
@@ -225,7 +230,7 @@ class Buckets:
             for b in batches:
                 for i, bucket in enumerate(b.column(0).to_pylist()):
                     columns = self._unpacked(b.slice(i, 1))
-                    ids, packed = self._packed((columns["hashes"] >> np.uint64(20)).astype(np.int64) % (1 << 20) % self.fine, columns, self.fine)
+                    ids, packed = self._packed(self._key(columns, 16) % self.fine, columns, self.fine)
                     yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(ids), pa.int32()), pa.array(ids, pa.int32()), *packed], ["bucket", "cut", *self.kinds])
 
         def each(batches):

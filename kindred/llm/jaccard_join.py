@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bounded_batches, mix, only_likely, release, window_hashes, word_hashes, written
+from .common import HELD, Buckets, Written, bounded_batches, lean, mix, only_likely, release, trim, window_hashes, word_hashes, written
 
 #: Tokens of more classes than this are frequent; at most so many are, those of most classes.
 RARE, FREQUENT = 64, 1 << 18
 #: Groups of more classes than this are compared by blocks of so many classes and tokens at most.
 SMALL, BLOCK_CLASSES, BLOCK_TOKENS = 32, 4096, 4_000_000
-BUCKET_BYTES = 32 << 20
+#: Text bytes for each part of the classes.
+PART_BYTES = 32 << 20
 #: Sets of so many tokens or more name combinations of three where partners are alike enough, smaller ones of two.
 THREES = 32
 
@@ -113,38 +114,28 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.cumsum(first) - 1
 
 
-def _dealt(pairs: Iterator[tuple[int, np.ndarray]], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(class, tokens) as (tokens, classes), sorted and distinct, of about ``most`` rows at a time."""
-    held, size = [], 0
+def _dealt(pairs: Iterator[tuple[int, np.ndarray]], most: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(class, tokens) as (tokens, classes), in the tokens' order and distinct, of about ``most`` rows at a time."""
+    held: dict[int, np.ndarray] = {}
+    size = 0
 
     def flat():
-        classes = np.repeat(np.array([c for c, _ in held], np.int64), [len(t) for _, t in held])
-        tokens = np.concatenate([t for _, t in held])
-        order = np.lexsort((classes, tokens))
-        tokens, classes = tokens[order], classes[order]
-        fresh = np.ones(len(tokens), bool)
-        fresh[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
-        return tokens[fresh], classes[fresh]
+        classes = np.repeat(np.array(list(held), np.int64), [len(t) for t in held.values()])
+        tokens = np.concatenate(list(held.values()))
+        order = np.argsort(tokens)
+        return tokens[order], classes[order]
 
     for c, t in pairs:
-        if len(t):
-            held.append((c, t))
+        if len(t) and c not in held:
+            held[c] = t
             size += len(t)
         if size >= most:
             yield flat()
-            held, size = [], 0
+            held, size = {}, 0
     if held:
         yield flat()
 
 
-def _bucketed(tokens: np.ndarray, columns: list[np.ndarray], buckets: int) -> tuple[list[int], list[list[bytes]]]:
-    bucket = (tokens >> np.uint64(40)).astype(np.int64) % buckets
-    order = np.lexsort((columns[0], bucket))
-    ids, first = np.unique(bucket[order], return_index=True)
-    cut = np.append(first, len(order)).tolist()
-    return ids.tolist(), [[c[a:b].tobytes() for a, b in zip(cut, cut[1:])] for c in (c[order] for c in [tokens, *columns])]
-
-
 def _parted(classes: np.ndarray, columns: list[np.ndarray], parts: int) -> tuple[list[int], list[list[bytes]]]:
     """Rows packed by parts of the classes, so that what a group answers is a row for each part and not for each class."""
     part = np.mod(classes, parts)
@@ -159,68 +150,67 @@ def _pairs_of(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, np.
         yield c, _unpack(raw)
 
 
-def partnered(firsts: DataFrame, buckets: int) -> DataFrame:
+#: Of an entry in the search for partners: its task has the token in several classes; the class is known to have a partner.
+SEVERAL, KNOWN = 1, 2
+
+
+def partnered(firsts: DataFrame, size: int, parts: int) -> DataFrame:
     """The classes of ``firsts`` (class, packed keys) that share a key with another class. A task settles its own and
     sends one class for each key, so that a key of most classes is met once for each task."""
+    buckets = Buckets(size, {"hashes": "u8", "classes": "i8", "marks": "u1"})
 
     def deal(batches):
-        def sent():
-            for tokens, classes in _dealt(x for b in batches for x in _pairs_of(b)):
-                start, run = _runs(tokens)
-                several = np.bincount(run) > 1
-                found = np.unique(classes[several[run]])
-                yield [-1], [[b""], [found.tobytes()], [b""]]
-                yield _bucketed(tokens[start], [classes[start], several.astype(np.uint8)], buckets)
-
-        for ids, packed in sent():
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["bucket", "tokens", "classes", "several"])
-
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
-        tokens, classes, several = (np.concatenate([_unpack(x, k) for x in table.column(n)]) for n, k in (("tokens", np.uint64), ("classes", np.int64), ("several", np.uint8)))
-        found = classes
-        if key[0].as_py() >= 0:
-            order = np.lexsort((classes, tokens))
-            tokens, classes, several = tokens[order], classes[order], several[order]
+        for tokens, classes in _dealt((x for b in batches for x in _pairs_of(b)), buckets.held):
+            start, run = _runs(tokens)
+            several = np.bincount(run) > 1
+            known = np.unique(classes[several[run]])
+            marks = np.concatenate([several.astype(np.uint8) * np.uint8(SEVERAL), np.full(len(known), KNOWN, np.uint8)])
+            yield buckets.pack(hashes=np.concatenate([tokens[start], mix(known.view(np.uint64))]), classes=np.concatenate([classes[start], known]), marks=marks)
+
+    def answer(hashes, classes, marks) -> pa.Table:
+        found = [classes[marks == KNOWN]]
+        tokens, classes, marks = (x[marks != KNOWN] for x in (hashes, classes, marks))
+        if len(tokens):
+            order = np.argsort(tokens)
+            tokens, classes = tokens[order], classes[order]
             start, run = _runs(tokens)
-            ends = np.append(start[1:], len(tokens)) - 1
-            shared = (classes[start] != classes[ends]) | (np.bincount(run, several) > 0)
-            found = classes[shared[run]]
-        (ids, (packed,)) = _parted(np.unique(found), [], buckets)
+            shared = (np.minimum.reduceat(classes, start) != np.maximum.reduceat(classes, start)) | (np.bincount(run, marks[order]) > 0)
+            found.append(classes[shared[run]])
+        (ids, (packed,)) = _parted(np.unique(np.concatenate(found)), [], parts)
         return pa.table([pa.array(ids, pa.int32()), pa.array(packed, pa.binary())], ["part", "classes"])
 
     def together(table: pa.Table) -> pa.Table:
         return pa.table([pa.array(np.unique(np.concatenate([_unpack(x, np.int64) for x in table.column("classes")])), pa.int64())], ["class"])
 
-    rows = firsts.mapInArrow(deal, "bucket int, tokens binary, classes binary, several binary")
-    salted = rows.withColumn("salt", F.when(F.col("bucket") < 0, F.pmod(F.hash("classes"), F.lit(buckets))).otherwise(0))
-    return salted.groupBy("bucket", "salt").applyInArrow(answer, "part int, classes binary").groupBy("part").applyInArrow(together, "class long")
+    rows = firsts.mapInArrow(lean(deal), buckets.schema)
+    return buckets.answered(rows, answer, "part int, classes binary").groupBy("part").applyInArrow(together, "class long")
 
 
-def frequent_tokens(sets: DataFrame, buckets: int) -> dict[int, int]:
+def frequent_tokens(sets: DataFrame, size: int) -> dict[int, int]:
     """The tokens of most classes with their numbers of classes: more than RARE, and at most FREQUENT of them."""
+    buckets = Buckets(size, {"hashes": "u8", "counts": "u4"})
 
     def deal(batches):
-        for tokens, _ in _dealt(x for b in batches for x in _pairs_of(b)):
+        for tokens, _ in _dealt((x for b in batches for x in _pairs_of(b)), buckets.held):
             start, run = _runs(tokens)
-            ids, packed = _bucketed(tokens[start], [np.bincount(run).astype(np.uint32)], buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["bucket", "tokens", "counts"])
+            yield buckets.pack(hashes=tokens[start], counts=np.bincount(run))
 
-    def total(table: pa.Table) -> pa.Table:
-        tokens, counts = (np.concatenate([_unpack(x, k) for x in table.column(n)]) for n, k in (("tokens", np.uint64), ("counts", np.uint32)))
-        names, index = np.unique(tokens, return_inverse=True)
+    def total(hashes, counts) -> pa.Table:
+        names, index = np.unique(hashes, return_inverse=True)
         df = np.bincount(index, counts).astype(np.int64)
         own = np.flatnonzero(df > RARE)
         own = own[np.lexsort((names[own], -df[own]))][:FREQUENT]
         return pa.table([pa.array(names[own].view(np.int64)), pa.array(df[own])], ["token", "df"])
 
-    rows = sets.select("class", "tokens").mapInArrow(deal, "bucket int, tokens binary, counts binary").groupBy("bucket").applyInArrow(total, "token long, df long")
+    rows = buckets.answered(sets.select("class", "tokens").mapInArrow(lean(deal), buckets.schema), total, "token long, df long")
     return {r.token & 0xFFFFFFFFFFFFFFFF: r.df for r in rows.orderBy(F.desc("df"), "token").limit(FREQUENT).collect()}
 
 
-def indexed(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
+def indexed(sets: DataFrame, num: int, den: int, size: int, parts: int) -> DataFrame:
     """(class, n, rows, core, keys): of each class of ``sets`` (class, n, tokens, rows) that may have a partner the tokens that others
     have too, packed, and its index keys."""
-    often = frequent_tokens(sets, buckets)
+    often = frequent_tokens(sets, size)
+    buckets = Buckets(size, {"hashes": "u8", "classes": "i8"})
     table = np.array(sorted((t, df) for t, df in often.items()), np.uint64).reshape(-1, 2)
     names = sets.sparkSession.sparkContext.broadcast(table)  # at most FREQUENT rows
 
@@ -232,18 +222,16 @@ def indexed(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
         return known[at, 0] == tokens, at
 
     def deal(batches):
-        for tokens, classes in _dealt((c, t[~is_frequent(t)[0]]) for b in batches for c, t in _pairs_of(b)):
-            ids, packed = _bucketed(tokens, [classes], buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["bucket", "tokens", "classes"])
-
-    def answer(group: pa.Table) -> pa.Table:
-        tokens, classes = (np.concatenate([_unpack(x, k) for x in group.column(n)]) for n, k in (("tokens", np.uint64), ("classes", np.int64)))
-        order = np.lexsort((classes, tokens))
-        tokens, classes = tokens[order], classes[order]
+        for tokens, classes in _dealt(((c, t[~is_frequent(t)[0]]) for b in batches for c, t in _pairs_of(b)), buckets.held):
+            yield buckets.pack(hashes=tokens, classes=classes)
+
+    def answer(hashes, classes) -> pa.Table:
+        order = np.argsort(hashes)
+        tokens, classes = hashes[order], classes[order]
         start, run = _runs(tokens)
         df = np.bincount(run).astype(np.uint32)[run]
         own = np.flatnonzero(df > 1)
-        ids, packed = _parted(classes[own], [tokens[own], df[own]], buckets)
+        ids, packed = _parted(classes[own], [tokens[own], df[own]], parts)
         return pa.table([pa.array(ids, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["part", "classes", "tokens", "df"])
 
     def key(group: pa.Table, answers: pa.Table) -> pa.Table:
@@ -265,11 +253,13 @@ def indexed(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
                 rows.append(rows_of)
                 cores.append(np.sort(np.concatenate([rare, common])).tobytes())
                 keys.append(own.view(np.int64))
+        trim()
         return pa.table([pa.array(classes, pa.int64()), pa.array(ns, pa.int64()), pa.array(rows, pa.int64()), pa.array(cores, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["class", "n", "rows", "core", "keys"])
 
-    found = sets.select("class", "tokens").mapInArrow(deal, "bucket int, tokens binary, classes binary").groupBy("bucket").applyInArrow(answer, "part int, classes binary, tokens binary, df binary")
-    parts = sets.withColumn("part", F.pmod("class", F.lit(buckets)).cast("int"))
-    return parts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(key, "class long, n long, rows long, core binary, keys array<long>")
+    rows = sets.select("class", "tokens").mapInArrow(lean(deal), buckets.schema)
+    found = buckets.answered(rows, answer, "part int, classes binary, tokens binary, df binary")
+    parts_ = sets.withColumn("part", F.pmod("class", F.lit(parts)).cast("int"))
+    return parts_.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(key, "class long, n long, rows long, core binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, cores: DataFrame, num: int, den: int) -> DataFrame:
@@ -288,7 +278,7 @@ def verified(pairs: DataFrame, cores: DataFrame, num: int, den: int) -> DataFram
                 links[i] = not (len(x) and len(y) and len(np.intersect1d(x, y)))
             yield b.select(["a", "b", "rows_a", "rows_b"]).filter(pa.array(links))
 
-    return rows.mapInArrow(run, "a long, b long, rows_a long, rows_b long")
+    return rows.mapInArrow(lean(run), "a long, b long, rows_a long, rows_b long")
 
 
 def _forest(links: Iterator[tuple[int, np.ndarray]], n: int) -> list[tuple[int, int]]:
@@ -374,6 +364,7 @@ def large_group_links(groups: DataFrame, cores: DataFrame, num: int, den: int) -
         if key[1].as_py() == key[2].as_py() or 0 < left.sum() < len(left):  # else one of the blocks is empty
             earlier = [x.values.to_numpy().astype(np.int64) for x in table.column("earlier")]
             edges = block_links(classes, table.column("n").to_numpy(), [_unpack(x) for x in table.column("core")], left, num, den, earlier, rows, found)
+        trim()
         some = np.flatnonzero(found)
         a = np.concatenate([np.array([x for x, _ in edges], np.int64), classes[some]])
         b = [x for _, x in edges] + [None] * len(some)
@@ -404,10 +395,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.df.select(F.col("u").alias("class"), F.col("v").alias("root")).unionByName(edges.df.select(F.col("v").alias("class"), F.col("v").alias("root")).distinct())
 
 
-def class_links(sets: DataFrame, num: int, den: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+def class_links(sets: DataFrame, num: int, den: int, size: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """Of the links between classes of ``sets`` (class, n, tokens, rows): some (a, b) that connect all that any connect, and
     (class, others), the rows of all classes that a class is linked with."""
-    indexed_ = Written(indexed(sets, num, den, buckets))
+    indexed_ = Written(indexed(sets, num, den, size, parts))
     release(sets.sparkSession)
     keyed = indexed_.df.select(F.explode("keys").alias("key"), "class", "n")
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("tokens")).filter("classes > 1")
@@ -443,7 +434,7 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
     bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(12, size // BUCKET_BYTES)
+    parts = max(12, size // PART_BYTES)
 
     def describe(batches):
         for whole in batches:
@@ -453,11 +444,11 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
                 firsts = [first_keys(s, num, den).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.binary())], ["doc_id", "tag", "class", "n", "firsts"])
 
-    with_keys = Written(source.mapInArrow(describe, "doc_id long, tag long, class long, n long, firsts binary"))
+    with_keys = Written(source.mapInArrow(lean(describe), "doc_id long, tag long, class long, n long, firsts binary"))
     described = Written(with_keys.df.drop("firsts")).df
     named = "n > 0 and doc_id is not null"
     classes = described.filter(named).groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    wanted = Written(classes.join(partnered(with_keys.df.filter(named).select("class", "firsts"), buckets), "class").select("class", "rep", "rows"))
+    wanted = Written(classes.join(partnered(with_keys.df.filter(named).select("class", "firsts"), size, parts), "class").select("class", "rep", "rows"))
     with_keys.drop()
     release(spark)
 
@@ -471,9 +462,9 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
 
     named_texts = only_likely(source, "doc_id", wanted.df.select("rep"))
     texts = named_texts.join(wanted.df.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "text", "rows")
-    sets = Written(texts.mapInArrow(whole_sets, "class long, n long, tokens binary, rows long"))
+    sets = Written(texts.mapInArrow(lean(whole_sets), "class long, n long, tokens binary, rows long"))
     release(spark)
-    links, counts = class_links(sets.df, num, den, buckets)
+    links, counts = class_links(sets.df, num, den, size, parts)
     joined = classes.join(components(links), "class", "left").join(counts, "class", "left")
     n_links = F.col("rows") - 1 + F.coalesce("others", F.lit(0))
     homes = written(joined.select("class", "rep", F.coalesce("root", "class").alias("root"), n_links.alias("n_links")))

@@ -25,15 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WINDOW_BASE, Written, bounded_batches, mix, release, window_hashes, word_hashes, written
+from .common import WINDOW_BASE, Buckets, Written, bounded_batches, lean, mix, release, window_hashes, word_hashes, written
 
 LENGTH = 13
-#: Text bytes for each bucket of hashes; a bucket is one group of one task.
-BUCKET_BYTES = 32 << 20
-
-ENTRIES = "bucket int, settled boolean, docs binary, tags binary, low binary, high binary, hashes binary, marks binary"
-#: An entry's marks: another document of its task shares it; a smaller one has it.
-SHARED, LATER = 1, 2
+#: An entry: document, tag, place (low and high half), hash and marks.
+ENTRY = {"docs": "i8", "tags": "i8", "low": "u2", "high": "u2", "hashes": "u8", "marks": "u1"}
+#: An entry's marks: another document of its task shares it; a smaller one has it; its task has told it so.
+SHARED, LATER, SETTLED = 1, 2, 4
 
 
 def anchors(words: np.ndarray, length: int) -> np.ndarray:
@@ -45,9 +43,9 @@ def anchors(words: np.ndarray, length: int) -> np.ndarray:
         return np.empty(0, np.int64)
     best, place = h[:n].copy(), np.zeros(n, np.int64)
     for k in range(1, length - half + 1):
-        less = h[k : k + n] < best
-        best[less] = h[k : k + n][less]
-        place[less] = k
+        next_ = h[k : k + n]
+        np.copyto(place, k, where=next_ < best)
+        np.minimum(best, next_, out=best)
     return place + np.arange(n)
 
 
@@ -65,95 +63,84 @@ def _unpack(raw, kind) -> np.ndarray:
     return np.frombuffer(raw.as_buffer(), kind) if raw.is_valid else np.empty(0, kind)
 
 
-def _gathered(cell, kind) -> np.ndarray:
-    """The packed arrays that a cell lists, as one."""
-    parts = [_unpack(x, kind) for x in cell.values] if cell.is_valid and len(cell.values) else []
-    return np.concatenate(parts) if parts else np.empty(0, kind)
-
-
-def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
-    """Which rows begin a run of equal ones."""
-    first = np.ones(len(sorted_columns[0]), bool)
-    first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
-    return first
+def _judged(docs: np.ndarray, hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The marks, with what the documents of equal hashes say of each other added."""
+    if not len(hashes):
+        return marks
+    order = np.argsort(hashes)
+    sorted_, docs = hashes[order], docs[order]
+    first = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
+    heads, run = np.flatnonzero(first), np.cumsum(first) - 1
+    late = docs > np.minimum.reduceat(docs, heads)[run]
+    shared = np.logical_or.reduceat(late | (marks[order] & SHARED > 0), heads)[run]
+    out = marks.copy()
+    out[order] |= shared.astype(np.uint8) * np.uint8(SHARED) | late.astype(np.uint8) * np.uint8(LATER)
+    return out
 
 
-def _judged(docs: np.ndarray, hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Marks of entries sorted by hash and document: what the documents of a run say of each other is added."""
-    first = _starts(hashes)
-    run = np.cumsum(first) - 1
-    late = docs > docs[np.flatnonzero(first)][run]
-    shared = np.bincount(run, late | (marks & SHARED > 0), minlength=1) > 0
-    return marks | np.where(shared[run], SHARED, 0).astype(np.uint8) | np.where(late, LATER, 0).astype(np.uint8)
-
-
-def _split(keys: list[np.ndarray], columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[list[bytes]]]:
-    """Sorted distinct keys, and each column's packed rows of each key."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    first = np.flatnonzero(_starts(*keys))
+def _by_document(docs: np.ndarray, tags: np.ndarray, columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[list[bytes]]]:
+    """The distinct (document, tag), and each column's packed rows of each."""
+    order = np.lexsort((tags, docs)) if tags.any() else np.argsort(docs, kind="stable")
+    docs, tags = docs[order], tags[order]
+    first = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])))) if len(docs) else np.empty(0, np.int64)
     cut = np.append(first, len(order)).tolist()
-    return [k[first] for k in keys], [[c[a:b].tobytes() for a, b in zip(cut, cut[1:])] for c in (c[order] for c in columns)]
+    return [docs[first], tags[first]], [[c[a:b].tobytes() for a, b in zip(cut, cut[1:])] for c in (c[order] for c in columns)]
 
 
-def exchange(rows: DataFrame, of: Callable[[pa.RecordBatch], Iterator[tuple]], buckets: int, with_hashes: bool = False) -> DataFrame:
+def exchange(rows: DataFrame, of: Callable[[pa.RecordBatch], Iterator[tuple]], size: int, with_hashes: bool = False) -> DataFrame:
     """The windows that ``of`` makes of a batch of ``rows`` as (doc_id, tag, places, hashes), of which those stay that another
-    document has too; ``later`` says which of these a document with a smaller id has. A row for each document and bucket."""
+    document has too; ``later`` says which of these a document with a smaller id has. A row for each document; answers
+    go back packed by parts of the documents. ``size`` is the bytes of all texts."""
+    buckets = Buckets(size, ENTRY)
+    home = Buckets(size, {k: t for k, t in ENTRY.items() if with_hashes or k != "hashes"}, by="docs")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: dict[tuple, tuple] = {}  # repeated rows count once
+        entries = 0
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
-                made = [x for x in of(whole.slice(at, 200)) if len(x[2])]
-                held += made
-                size += sum(len(x[2]) for x in made)
-                if size >= 1 << 18:
-                    yield from dealt(held)
-                    held, size = [], 0
+                for x in of(whole.slice(at, 200)):
+                    if len(x[2]) and x[:2] not in held:
+                        held[x[:2]] = x
+                        entries += len(x[2])
+                if entries >= buckets.held:
+                    yield dealt(list(held.values()))
+                    held, entries = {}, 0
         if held:
-            yield from dealt(held)
+            yield dealt(list(held.values()))
 
-    def dealt(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def dealt(held: list[tuple]) -> pa.RecordBatch:
         sizes = [len(x[2]) for x in held]
         docs, tags = (np.repeat(np.array([x[k] for x in held], np.int64), sizes) for k in (0, 1))
         places = np.concatenate([x[2] for x in held]).astype(np.uint32)
         hashes = np.concatenate([x[3] for x in held])
-        order = np.lexsort((places, tags, docs, hashes))
-        order = order[_starts(hashes[order], docs[order], tags[order], places[order])]  # repeated rows count once
-        docs, tags, places, hashes = (c[order] for c in (docs, tags, places, hashes))
         marks = _judged(docs, hashes, np.zeros(len(docs), np.uint8))
-        settled = marks & LATER > 0
-        for done in (False, True):
-            own = np.flatnonzero(settled == done)
-            own = own[np.lexsort((places[own], tags[own], docs[own]))]  # in this order all but the hashes compress well
-            bucket = (hashes[own] >> np.uint64(40)).astype(np.int64) % buckets
-            (ids,), packed = _split([bucket], [docs[own], tags[own], places[own].astype(np.uint16), (places[own] >> 16).astype(np.uint16), hashes[own], marks[own]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([done] * len(ids), pa.bool_()), *(pa.array(x, pa.binary()) for x in packed)], ["bucket", "settled", "docs", "tags", "low", "high", "hashes", "marks"])
-
-    def answer(table: pa.Table) -> pa.Table:
-        docs, tags, low, high, hashes, marks = (np.concatenate([_unpack(x, kind) for x in table.column(name)]) for name, kind in (("docs", np.int64), ("tags", np.int64), ("low", np.uint16), ("high", np.uint16), ("hashes", np.uint64), ("marks", np.uint8)))
-        places = low | high.astype(np.uint32) << 16
-        settled = np.repeat(table.column("settled").to_numpy(), [len(_unpack(x, np.uint8)) for x in table.column("marks")])
-        open_ = np.flatnonzero(~settled)
-        open_ = open_[np.lexsort((docs[open_], hashes[open_]))]
-        marks = marks.copy()
+        marks[marks & LATER > 0] |= SETTLED
+        return buckets.pack(docs=docs, tags=tags, low=places.astype(np.uint16), high=(places >> 16).astype(np.uint16), hashes=hashes, marks=marks)
+
+    def answer(docs, tags, low, high, hashes, marks) -> pa.Table:
+        open_ = np.flatnonzero(marks & SETTLED == 0)
         marks[open_] = _judged(docs[open_], hashes[open_], marks[open_])
-        shared = marks & SHARED > 0
-        keys, packed = _split([docs[shared], tags[shared]], [places[shared], marks[shared] & LATER > 0] + [hashes[shared]] * with_hashes)
-        return pa.table([*(pa.array(k, pa.int64()) for k in keys), *(pa.array(x, pa.binary()) for x in packed)], ["doc_id", "tag", *columns])
+        told = np.flatnonzero(marks & SHARED)
+        columns = {"docs": docs, "tags": tags, "low": low, "high": high, "hashes": hashes, "marks": marks}
+        return pa.Table.from_batches([home.pack(**{k: columns[k][told] for k in home.kinds})])
+
+    def together(docs, tags, low, high, marks, hashes=None) -> pa.Table:
+        columns = [low | high.astype(np.uint32) << 16, marks & LATER > 0] + ([hashes] if with_hashes else [])
+        keys, packed = _by_document(docs, tags, columns)
+        return pa.table([*(pa.array(k, pa.int64()) for k in keys), *(pa.array(x, pa.binary()) for x in packed)], names)
 
-    columns = ["places", "later"] + ["hashes"] * with_hashes
-    found = rows.mapInArrow(deal, ENTRIES).groupBy("bucket").applyInArrow(answer, "doc_id long, tag long, " + ", ".join(f"{c} binary" for c in columns))
-    return found.groupBy("doc_id", "tag").agg(*(F.collect_list(c).alias(c) for c in columns))
+    names = ["doc_id", "tag", "places", "later"] + ["hashes"] * with_hashes
+    found = buckets.answered(rows.mapInArrow(lean(deal), buckets.schema), answer, home.schema)
+    return home.answered(found, together, "doc_id long, tag long, places binary, later binary" + ", hashes binary" * with_hashes)
 
 
 def repeated(source: DataFrame, length: int = LENGTH, longest: bool = False) -> DataFrame:
-    """``source`` (from :func:`rows_of`) to (doc_id, tag, places, later, longest): lists of packed places of the windows of ``length`` that another document has too,
+    """``source`` (from :func:`rows_of`) to (doc_id, tag, places, later, longest): packed places of the windows of ``length`` that another document has too,
     whether one with a smaller id has, and the longest doubled length at which a window still repeats in another document."""
     spark = source.sparkSession
     source = source.filter("doc_id is not null")
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(12, size // BUCKET_BYTES)
 
     def halves(b: pa.RecordBatch):
         for doc, tag, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_hashes([_raw(t) for t in b.column(2)])):
@@ -164,28 +151,28 @@ def repeated(source: DataFrame, length: int = LENGTH, longest: bool = False) ->
         for i, (doc, tag, words) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_hashes([_raw(t) for t in b.column(2)]))):
             around = anchors(words, length)
             known = np.zeros(len(words) + 1, bool)
-            known[_gathered(b.column(3)[i], np.uint32)] = True
+            known[_unpack(b.column(3)[i], np.uint32)] = True
             places = np.flatnonzero(known[around])
             yield doc, tag, places, window_hashes(words, length)[places]
 
     def longer(times: int):
         def of(b: pa.RecordBatch):
             for i, (doc, tag) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                places, hashes = _gathered(b.column(2)[i], np.uint32), _gathered(b.column(3)[i], np.uint64)
+                places, hashes = _unpack(b.column(2)[i], np.uint32), _unpack(b.column(3)[i], np.uint64)
                 places, first = np.unique(places, return_index=True)
                 yield doc, tag, *twice(places.astype(np.int64), hashes[first], length << times)
 
         return of
 
-    first = Written(exchange(source, halves, buckets).select("doc_id", "tag", "places"))
+    first = Written(exchange(source, halves, size).select("doc_id", "tag", "places"))
     release(spark)
-    found = Written(exchange(source.join(first.df, ["doc_id", "tag"]), full, buckets, longest))
+    found = Written(exchange(source.join(first.df, ["doc_id", "tag"]), full, size, longest))
     first.drop()
     release(spark)
     out = found.df.select("doc_id", "tag", "places", "later", F.lit(length).alias("longest"))
     level, times, reached = found, 0, []
     while longest and not level.df.isEmpty():
-        next_ = Written(exchange(level.df.select("doc_id", "tag", "places", "hashes"), longer(times), buckets, True).select("doc_id", "tag", "places", "hashes"))
+        next_ = Written(exchange(level.df.select("doc_id", "tag", "places", "hashes"), longer(times), size, True).select("doc_id", "tag", "places", "hashes"))
         times += 1
         reached.append(Written(next_.df.select("doc_id", "tag", F.lit(length << times).alias("longest"))).df)
         if level is not found:
@@ -225,7 +212,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, longest: bool = False, id_col:
                 for i, text in enumerate(b.column(1)):
                     words = _raw(text).split()
                     n.append(len(words))
-                    starts = _gathered(b.column(2)[i], np.uint32)[_gathered(b.column(3)[i], np.bool_)].astype(np.int64)
+                    starts = _unpack(b.column(2)[i], np.uint32)[_unpack(b.column(3)[i], np.bool_)].astype(np.int64)
                     if len(starts):
                         edge = np.zeros(len(words) + 1, np.int32)
                         np.add.at(edge, starts, 1)
@@ -235,7 +222,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, longest: bool = False, id_col:
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), b.column(4)], ["doc_id", "n_words", "n_removed", "kept", "longest"])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, longest int")
+    return joined.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept string, longest int")
 
 
 def digest(deduped: DataFrame) -> DataFrame:

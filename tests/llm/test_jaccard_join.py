@@ -65,6 +65,16 @@ def test_against_plain(docs, n, num, den, monkeypatch):
     assert got(docs(*rows), n, num, den) == plain(rows, n, num, den)
 
 
+def test_ranges_are_cut_where_they_arrive(docs, monkeypatch):
+    from kindred.llm import common
+
+    monkeypatch.setattr(common, "MOST_RANGES", 3)
+    monkeypatch.setattr(common, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(j, "RARE", 8)
+    rows = corpus(7, 40)
+    assert got(docs(*rows), 3, 90, 100) == plain(rows, 3, 90, 100)
+
+
 def test_rows_of_any_kind(docs):
     long = " ".join(f"l{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, "one"), (4, "One"), (5, "one"), (5, "one"), (None, "one"), (6, long), (7, long + " x"), (8, "two words"), (9, " \t\n")]

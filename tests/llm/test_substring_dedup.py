@@ -34,6 +34,18 @@ def test_against_plain(docs):
     assert got(docs(*rows), length=4) == plain(rows, 4)
 
 
+def test_ranges_are_cut_where_they_arrive(docs, monkeypatch):
+    from kindred.llm import common
+
+    monkeypatch.setattr(common, "MOST_RANGES", 3)
+    monkeypatch.setattr(common, "BUCKET_BYTES", 200)
+    random.seed(13)
+    passages = [" ".join(f"p{random.randrange(90)}" for _ in range(random.randint(14, 40))) for _ in range(5)]
+    rows = [(i, " ".join(random.choice(passages) for _ in range(random.randint(0, 3)))) for i in range(40)]
+    assert common.Buckets(4000, s.ENTRY).fine > 1
+    assert got(docs(*rows)) == plain(rows)
+
+
 def test_rows_of_any_kind(docs):
     w, x = " ".join("abcdefghijklmnopqrst"), " ".join("ABCDEFGHIJKLMNOPQRST")
     rows = [(1, w), (2, w + " zz"), (2, x), (2, w + " zz"), (None, w), (3, x), (4, None), (5, ""), (6, "\x0b" + w.replace(" ", "\t \n")), (7, "é " * 70_000), (8, "é " * 70_000)]
