@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import jaccard_join, mixing, packing, secret_scan, toxicity
-from kindred.llm.common import written
+from kindred.llm.common import scope
 
 ORACLE_SQL = None
 #: Documents with this score or a higher one are rejected.
@@ -49,10 +49,13 @@ STAGES = [("toxicity", keep_civil), ("ngram_jaccard", keep_one_of_each), ("secre
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    """All stages over the documents of ``sf_dir``, each written before the next. What a stage writes on its way goes when its
+    result is there, and that result when the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        with scope() as s:
+            kept = s.keep(stage(spark, docs, sf_dir))
+        if before:
+            before.drop()
+        docs, before = kept.df, kept
+    return STAGES[-1][1](spark, docs, sf_dir)
