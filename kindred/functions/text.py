@@ -3,8 +3,11 @@ scripts of letters."""
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,18 +68,38 @@ def common_prefix(a: Column, b: Column, most: int = 4) -> Column:
     return out
 
 
-def letter_scripts(text: str | None) -> tuple[list[str], str | None]:
-    """The scripts of a text's letters, by the first word of their Unicode names, and the most frequent one."""
-    counts: dict[str, int] = {}
-    for c in text or "":
-        if unicodedata.category(c).startswith("L"):
-            script = unicodedata.name(c, "UNKNOWN").split(" ")[0]
-            script = "HAN" if script == "CJK" else script
-            counts[script] = counts.get(script, 0) + 1
-    return sorted(counts), min(counts, key=lambda s: (-counts[s], s)) if counts else None
+@cache
+def script_table() -> tuple[np.ndarray, tuple[str, ...]]:
+    """For each code point the number of its letter's script, -1 for what is no letter, and the scripts' names in order. A
+    letter's script is the first word of its Unicode name, that of unified ideographs HAN."""
+    words = {}
+    for point in range(sys.maxunicode + 1):
+        letter = chr(point)
+        if unicodedata.category(letter)[0] == "L":
+            words[point] = unicodedata.name(letter, "UNKNOWN").partition(" ")[0]
+    names = tuple(sorted({"HAN" if w == "CJK" else w for w in words.values()}))
+    numbers = {w: names.index("HAN" if w == "CJK" else w) for w in set(words.values())}
+    table = np.full(sys.maxunicode + 1, -1, np.int16)
+    table[list(words)] = [numbers[w] for w in words.values()]
+    return table, names
+
+
+def letter_scripts(texts: list[str | None]) -> list[tuple[list[str], str | None]]:
+    """Of each text the scripts of its letters, in order, and the one of most letters, the first of equally many."""
+    table, names = script_table()
+    known = [t or "" for t in texts]
+    points = np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), "<u4")
+    of_text = np.repeat(np.arange(len(known)), [len(t) for t in known])
+    script = table[points]
+    cells, letters = np.unique((of_text * len(names) + script)[script >= 0], return_counts=True)
+    row, script = np.divmod(cells, len(names))
+    order = np.lexsort((script, -letters, row))
+    firsts = order[np.unique(row[order], return_index=True)[1]]
+    most = dict(zip(row[firsts].tolist(), script[firsts].tolist()))
+    cut = np.searchsorted(row, np.arange(len(known) + 1))
+    return [([names[k] for k in script[cut[i] : cut[i + 1]]], names[most[i]] if i in most else None) for i in range(len(known))]
 
 
 @F.pandas_udf(T.StructType([T.StructField("scripts", T.ArrayType(T.StringType())), T.StructField("dominant", T.StringType())]))
 def script_profile(text: pd.Series) -> pd.DataFrame:
-    found = [letter_scripts(t) for t in text]
-    return pd.DataFrame({"scripts": [s for s, _ in found], "dominant": [d for _, d in found]})
+    return pd.DataFrame(letter_scripts(text.tolist()), columns=["scripts", "dominant"])

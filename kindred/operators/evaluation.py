@@ -70,14 +70,16 @@ def rank_distribution(linked: DataFrame, by: list[str]) -> DataFrame:
     return rank_summary(scoped, [*by, "scope"])
 
 
-def sweep(entities: DataFrame, truth: DataFrame, ranks: DataFrame, axis: str, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
-    """(axis, k) metrics of ``ranks`` (axis, s1_id, cand_id, rank): everything is ranked once, each K cuts the same list."""
-    names = ranks.select(axis).distinct()
-    grid = entities.select(F.col("entity_id").alias("s1_id")).crossJoin(F.broadcast(names))  # a few variants
+def sweep(entities: DataFrame, truth: DataFrame, ranks: DataFrame, axis: str, ks: tuple[int, ...] = K_VALUES, names: tuple[str, ...] | None = None) -> DataFrame:
+    """(axis, k) metrics of ``ranks`` (axis, s1_id, cand_id, rank): everything is ranked once, each K cuts the same list.
+    ``names`` are the values of the axis, a few; without them the ranks are asked for theirs. Entities or links come first
+    with each name, so that a name without candidates counts."""
+    names = names or tuple(r[0] for r in ranks.select(axis).distinct().collect())
+    grid = each_name(entities.select(F.col("entity_id").alias("s1_id")), axis, names)
     sizes = ranks.groupBy(axis, "s1_id").agg(F.count(F.lit(1)).alias("all"))
     every_k = F.explode(F.array(*map(F.lit, ks))).alias("k")
     counts = grid.join(sizes, [axis, "s1_id"], "left").select(axis, "s1_id", F.coalesce("all", F.lit(0)).alias("all"), every_k).withColumn("n", F.least("k", "all"))
-    links = linked_ranks(truth.crossJoin(F.broadcast(names)), ranks, axis)
+    links = linked_ranks(each_name(truth, axis, names), ranks, axis)
     cut = links.select(axis, "match_id", "rank", every_k).withColumn("found", F.coalesce(F.col("rank") <= F.col("k"), F.lit(False)))
     broad = links.groupBy(axis).agg(F.count("rank").alias("broad_found"), *(F.count_if(F.col("rank").isNotNull() & (source_of(F.col("match_id")) == s)).alias(f"broad_{s}") for s in ("S2", "S3")))
     rows = with_recall(count_summary(counts, [axis, "k"]).join(link_counts(cut, [axis, "k"], "found"), [axis, "k"], "left")).join(broad, axis, "left")
@@ -85,6 +87,11 @@ def sweep(entities: DataFrame, truth: DataFrame, ranks: DataFrame, axis: str, ks
     return rows.withColumns(lost | {f"{s}_lost": F.col(f"broad_{s}") - F.col(f"{s}_found") for s in ("S2", "S3")})
 
 
+def each_name(rows: DataFrame, axis: str, names: tuple[str, ...]) -> DataFrame:
+    """Each row once for each name, as the column ``axis``."""
+    return rows.withColumn(axis, F.explode(F.array(*map(F.lit, names))))
+
+
 def linked_ranks(truth: DataFrame, ranks: DataFrame, axis: str | None = None) -> DataFrame:
     """Every true link with its rank, null where it is no candidate."""
     on = ["s1_id", "match_id", *([axis] if axis else [])]

@@ -11,6 +11,7 @@ from ..functions.text import script_profile, tokens
 from .evaluation import linked_ranks
 from .scoring import same_country
 
+# The names of the flags.
 FLAGS = (
     "country_missing_or_different", "different_dominant_scripts", "disjoint_letter_scripts", "first_name_token_changed", "name_tokens_reordered", "no_shared_name_tokens",
     "spelling_change_proxy", "abbreviation_proxy", "address_missing", "nonempty_addresses_differ", "no_shared_address_words", "address_numbers_disjoint",

@@ -10,6 +10,7 @@ from ..functions.similarity import dice, exact, indel_ratio, jaccard, length_rat
 from ..functions.text import common_prefix, source_of
 from .scoring import same_country
 
+# The names and order of the features, and the percentiles.
 FEATURES = (
     "name_exact", "name_token_jaccard", "name_bigram_dice", "name_trigram_dice", "name_length_ratio", "name_prefix_similarity", "name_rare_token_dice", "s1_name_missing", "candidate_name_missing",
     "address_exact", "address_token_jaccard", "address_bigram_dice", "shared_numeric_token_count", "numeric_token_jaccard", "address_rare_token_dice", "s1_address_missing", "candidate_address_missing",
@@ -95,8 +96,12 @@ def pair_features(pairs: DataFrame, keep: tuple[str, ...] = (), fuzzy: bool = Fa
     return rows.select("s1_id", "cand_id", *keep, *out)
 
 
-def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
-    """Pairs with label 1 where the candidate is a match."""
+def labelled(pairs: DataFrame, truth: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """Pairs with label 1 where the candidate is a match. With ``covered`` (s1_id), the entities whose truth is known, be it
+    that they have no match, a pair of another entity is an error."""
+    if covered is not None:
+        there = F.when(F.col("there"), F.col("s1_id")).otherwise(F.raise_error(F.concat(F.lit("the truth lacks the entity "), F.col("s1_id"))))
+        pairs = pairs.join(covered.select("s1_id", F.lit(True).alias("there")), "s1_id", "left").withColumn("s1_id", there).drop("there")
     hits = truth.select("s1_id", F.col("match_id").alias("cand_id"), F.lit(1).alias("hit"))
     return pairs.join(hits, ["s1_id", "cand_id"], "left").withColumn("label", F.coalesce("hit", F.lit(0))).drop("hit")
 
@@ -106,9 +111,19 @@ def statistics(features: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFr
     stack = ", ".join(f"'{n}', cast({n} as double)" for n in names)
     rows = features.selectExpr("split", "label", f"stack({len(names)}, {stack}) as (feature, value)")
     valid = rows.withColumn("value", F.when(F.isnan("value") | F.abs("value").isin(float("inf")), F.raise_error(F.lit("a feature is not finite")).cast("double")).otherwise(F.col("value")))
-    quantiles = F.percentile("value", F.array(*(F.lit(p) for p in PERCENTILES.values())))
-    out = valid.groupBy("split", "label", "feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), quantiles.alias("q"))
-    return out.select("split", "label", "feature", "count", "mean", "std", "min", *(F.col("q")[i].alias(p) for i, p in enumerate(PERCENTILES)), "max")
+    by = ["split", "label", "feature"]
+    # Equal values are counted where they are made; a group's distinct values are then gone through in order, one at a time.
+    counted = valid.groupBy(*by, "value").agg(F.count("value").alias("n")).persist()
+    moments = counted.groupBy(*by).agg(F.sum("n").alias("count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = counted.withColumn("upto", upto).join(F.broadcast(moments), by)  # a row for each split, label and feature
+    place = lambda p: (F.col("count") - 1) * p
+    at = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.col("value")))
+    ends = [at(f(place(p))).alias(f"{name}_{side}") for name, p in PERCENTILES.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    spread = F.sqrt(F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), F.lit(2.0))) / F.first("count")).alias("std")
+    out = rows.groupBy(*by).agg(*(F.first(c).alias(c) for c in ("count", "mean", "min", "max")), spread, *ends)
+    between = [(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (place(p) - F.floor(place(p)))).alias(name) for name, p in PERCENTILES.items()]
+    return out.select(*by, "count", "mean", "std", "min", *between, "max")
 
 
 def separation(stats: DataFrame) -> DataFrame:

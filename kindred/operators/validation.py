@@ -41,7 +41,7 @@ def header_error(header: str | None, expected: tuple[str, str]) -> str | None:
 
 def lists_of(lines: DataFrame) -> DataFrame:
     """(line, s1_id, ids, malformed) of the rows after the header; an empty list has no ids."""
-    rows = lines.filter("line > 1").filter(~F.col("value").rlike(r"^\s*$"))
+    rows = lines.filter("line > 1").filter(~F.col("value").rlike(r"^[^\S\t]*$"))
     cut = F.split("value", "\t", 2)
     ids = F.get(cut, F.lit(1))
     listed = F.when(F.coalesce(F.trim(ids), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(ids, ",", -1))
@@ -49,25 +49,25 @@ def lists_of(lines: DataFrame) -> DataFrame:
 
 
 def findings(lists: DataFrame, required: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(rule, offenders, first): how many rows break each rule and the first five offenders. ``required`` has entity_id;
+    """(rule, offenders, first): how many rows, entities or ids break each rule, and the first five of them. ``required`` has entity_id;
     with ``known`` (entity_id) ids must exist."""
     good = lists.filter(~F.col("malformed"))
     twice = good.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("s1_id")
     last = good.groupBy("s1_id").agg(F.max_by("ids", "line").alias("ids"))
-    each = good.select("s1_id", F.explode("ids").alias("id"))
     wrong = F.when(F.col("id").startswith("S1-"), "self_match").when(~F.col("id").rlike("^S[23]-"), "wrong_prefix")
+    each = good.select(F.explode("ids").alias("id")).distinct().withColumn("rule", wrong)
     parts = [
         (lists.filter("malformed"), "malformed_row", F.col("line").cast("string")),
         (twice, "duplicate_entity", F.col("s1_id")),
-        (good.filter(F.size("ids") != F.size(F.array_distinct("ids"))), "repeated_id", F.col("s1_id")),
-        (each.withColumn("rule", wrong).filter("rule = 'self_match'"), "self_match", F.concat_ws(" ", "s1_id", "id")),
-        (each.withColumn("rule", wrong).filter("rule = 'wrong_prefix'"), "wrong_prefix", F.concat_ws(" ", "s1_id", "id")),
+        (good.filter(F.size("ids") != F.size(F.array_distinct("ids"))).select("s1_id").distinct(), "repeated_id", F.col("s1_id")),
+        (each.filter("rule = 'self_match'"), "self_match", F.col("id")),
+        (each.filter("rule = 'wrong_prefix'"), "wrong_prefix", F.col("id")),
         (required.select(F.trim("entity_id").alias("s1_id")).join(last, "s1_id", "left_anti"), "missing_entity", F.col("s1_id")),
         (last.join(required.select(F.trim("entity_id").alias("s1_id")), "s1_id", "left_anti"), "extra_entity", F.col("s1_id")),
     ]
     if known is not None:
-        checked = each.withColumn("rule", wrong).filter("rule is null").join(known.select(F.col("entity_id").alias("id")), "id", "left_anti")
-        parts.append((checked, "unknown_id", F.concat_ws(" ", "s1_id", "id")))
+        checked = each.filter("rule is null").join(known.select(F.col("entity_id").alias("id")), "id", "left_anti")
+        parts.append((checked, "unknown_id", F.col("id")))
     rows = None
     for df, rule, who in parts:
         own = df.select(F.lit(rule).alias("rule"), who.alias("who"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from ..functions.text import script_table
 from ..operators.features import FEATURES, PERCENTILES
 from ..operators.scoring import FORMULAS, SIGNALS
 from .queries import CUTOFF, PLACES, RESULT_LINES
@@ -89,6 +92,15 @@ def _dice(a: str, b: str) -> str:
     return f"(case when len({a}) + len({b}) > 0 then 2.0::double * len(list_intersect({a}, {b})) / (len({a}) + len({b})) else 0 end)"
 
 
+def _indel(a: str, b: str) -> str:
+    """The indel ratio: rows of the table of longest common subsequences, one for each character of ``b``."""
+    letters = lambda s: f"list_transform(range(1, length({s}) + 1), lambda i: substr({s}, i, 1))"
+    equal = f"list_transform({letters(b)}, lambda y: list_transform({letters(a)}, lambda x: (x = y)::int))"
+    step = "list_transform(range(1, len(e) + 1), lambda k: list_max(list_transform(range(1, k + 1), lambda j: greatest(acc[j], (case when j > 1 then acc[j - 1] else 0 end) + e[j]))))"
+    rows = f"list_reduce(list_prepend(list_transform({letters(a)}, lambda x: 0), {equal}), lambda acc, e: {step})"
+    return f"(case when length({a}) > 0 and length({b}) > 0 then 2.0::double * list_last({rows}) / (length({a}) + length({b})) else 0 end)"
+
+
 def _prefix(a: str, b: str) -> str:
     return "(case " + " ".join(f"when length({a}) >= {k} and length({b}) >= {k} and substr({a}, 1, {k}) = substr({b}, 1, {k}) then {k}" for k in (4, 3, 2, 1)) + " else 0 end / 4.0::double)"
 
@@ -190,10 +202,27 @@ _simple_flags = {
     "short_name_on_either_side": "len(a.nt) <= 2 or len(b.nt) <= 2",
     "all_name_tokens_common_on_either_side": "(len(a.ns) > 0 and len(list_intersect(a.ns, coalesce(ct, []))) = len(a.ns)) or (len(b.ns) > 0 and len(list_intersect(b.ns, coalesce(ct, []))) = len(b.ns))",
     "weak_character_name_overlap": f"{_gram_dice} < 0.2",
+    "different_dominant_scripts": "coalesce(pa.dominant <> pb.dominant, false)",
+    "disjoint_letter_scripts": "len(pa.scripts) > 0 and len(pb.scripts) > 0 and not list_has_any(pa.scripts, pb.scripts)",
+    "spelling_change_proxy": f"pa.dominant is not distinct from pb.dominant and a.name <> b.name and {_gram_dice} >= 0.5",
 }
+
+
+def _script_ranges() -> str:
+    """(lo, hi, script) of the runs of letters of one script."""
+    table, names = script_table()
+    first = np.flatnonzero(np.diff(table, prepend=-2))
+    last = np.append(first[1:], len(table)) - 1
+    return ", ".join(f"({a}, {b}, '{names[table[a]]}')" for a, b in zip(first.tolist(), last.tolist()) if table[a] >= 0)
+
+
+_flag_rows = "from fails f join q a on a.entity_id = f.s1_id join p b on b.entity_id = match_id left join ctn on ctn.country = a.country join prof pa on pa.entity_id = a.entity_id join prof pb on pb.entity_id = b.entity_id"
 PARTS |= {
     "ctn": ("common", "select country, list(term) ct from common where field = 'name' group by 1"),
-    "flagged": ("fails q p ctn", " union all ".join(f"select kind, '{f}' flag, a.seq, f.s1_id, match_id cand_id from fails f join q a on a.entity_id = f.s1_id join p b on b.entity_id = match_id left join ctn on ctn.country = a.country where {x}" for f, x in _simple_flags.items())),
+    "sr": ("", f"select * from (values {_script_ranges()}) t(lo, hi, script)"),
+    "letters": ("full sr", "select entity_id, script, count(*) n from (select entity_id, unicode(unnest(list_transform(range(1, length(name) + 1), lambda i: substr(name, i, 1)))) point from full_) x join sr on point between lo and hi group by 1, 2"),
+    "prof": ("full letters", "select full_.entity_id, coalesce(scripts, []) scripts, dominant from full_ left join (select entity_id, list(script order by script) scripts, list(script order by n desc, script)[1] dominant from letters group by 1) x using (entity_id)"),
+    "flagged": ("fails q p ctn prof", " union all ".join(f"select kind, '{f}' flag, a.seq, f.s1_id, match_id cand_id {_flag_rows} where {x}" for f, x in _simple_flags.items())),
     "best_false": ("sup truth", f"select s1_id, min_by(cand_id, rank) rival_id, min(rank) rival_rank from sup where rank <= {CUTOFF} and not exists (select 1 from truth t where t.s1_id = sup.s1_id and t.match_id = sup.cand_id) group by 1"),
     "pooled": ("p truth", "select entity_id from p where src = 2 and entity_id in (select match_id from truth) union all (select entity_id from p where src = 2 and entity_id not in (select match_id from truth) order by md5('44:' || entity_id), entity_id limit 100)"),
 }
@@ -202,14 +231,14 @@ PARTS |= {
 _sql_lines = RESULT_LINES.replace("{documents}", "documents").replace("\t", "' || chr(9) || '")
 PARTS |= {
     "lines": ("", _sql_lines),
-    "vl": ("lines", "select line, case when instr(value, chr(9)) = 0 then value else substr(value, 1, instr(value, chr(9)) - 1) end s1_id, case when instr(value, chr(9)) = 0 or trim(substr(value, instr(value, chr(9)) + 1)) = '' then []::varchar[] else string_split(substr(value, instr(value, chr(9)) + 1), ',') end ids, instr(value, chr(9)) = 0 malformed from lines where line > 1 and trim(value) <> ''"),
+    "vl": ("lines", "select line, case when instr(value, chr(9)) = 0 then value else substr(value, 1, instr(value, chr(9)) - 1) end s1_id, case when instr(value, chr(9)) = 0 or trim(substr(value, instr(value, chr(9)) + 1)) = '' then []::varchar[] else string_split(substr(value, instr(value, chr(9)) + 1), ',') end ids, instr(value, chr(9)) = 0 malformed from lines where line > 1 and (trim(value) <> '' or instr(value, chr(9)) > 0)"),
     "vg": ("vl", "select * from vl where not malformed"),
     "vlast": ("vg", "select s1_id, max_by(ids, line) ids from vg group by 1"),
-    "veach": ("vg", "select s1_id, unnest(ids) id from vg"),
+    "veach": ("vg", "select distinct id from (select unnest(ids) id from vg)"),
     "vf": ("vl vg vlast veach q p", """select 'malformed_row' as rule, line::varchar who from vl where malformed union all select 'duplicate_entity', s1_id from vg group by s1_id having count(*) > 1
-      union all select 'repeated_id', s1_id from vg where len(ids) <> len(list_distinct(ids)) union all select 'self_match', s1_id || ' ' || id from veach where id like 'S1-%'
-      union all select 'wrong_prefix', s1_id || ' ' || id from veach where id not like 'S1-%' and id not like 'S2-%' and id not like 'S3-%' union all select 'missing_entity', entity_id from q where entity_id not in (select s1_id from vlast)
-      union all select 'extra_entity', s1_id from vlast where s1_id not in (select entity_id from q) union all select 'unknown_id', s1_id || ' ' || id from veach where (id like 'S2-%' or id like 'S3-%') and id not in (select entity_id from p)"""),
+      union all select distinct 'repeated_id', s1_id from vg where len(ids) <> len(list_distinct(ids)) union all select 'self_match', id from veach where id like 'S1-%'
+      union all select 'wrong_prefix', id from veach where id not like 'S1-%' and id not like 'S2-%' and id not like 'S3-%' union all select 'missing_entity', entity_id from q where entity_id not in (select s1_id from vlast)
+      union all select 'extra_entity', s1_id from vlast where s1_id not in (select entity_id from q) union all select 'unknown_id', id from veach where (id like 'S2-%' or id like 'S3-%') and id not in (select entity_id from p)"""),
 }
 
 _formula_ranks = lambda f: sql("ranks", f"select s1_id, cand_id, {_r('score', 'score')}, rank from ranks where formula = '{f}'")
@@ -256,6 +285,11 @@ ORACLES: dict[str, str] = {
       join (select split, count(*) known_true_links from split join truth using (s1_id) group by 1) using (split)"""),
     "frozen_doc_freq": sql("fterms", "select field, country, term, df from fterms"),
     "failure_kinds": sql("fails", "select s1_id, match_id, rank, kind from fails"),
+    "failure_flags": sql("fails q p ctn prof", f"select f.s1_id, match_id cand_id, kind, {', '.join(f'coalesce({x}, false) {f}' for f, x in _simple_flags.items())} {_flag_rows}"),
+    "script_profiles": sql("q prof", "select entity_id, array_to_string(scripts, ',') scripts, dominant from q join prof using (entity_id)"),
+    "fuzz_ratio": sql("truth q p", f"""select s1_id, match_id cand_id, {_r(_indel('m', 'n'), 'name_indel_ratio')}, {_r("case when len(x) = 0 or len(y) = 0 then 0 when len(list_intersect(x, y)) > 0 and (len(list_intersect(x, y)) = len(x) or len(list_intersect(x, y)) = len(y)) then 1 else greatest(" + ", ".join(_indel(s, t) for s, t in (("l", "r"), ("c", "l"), ("c", "r"))) + ") end", 'name_token_set_ratio')}
+      from (select *, trim(c || ' ' || array_to_string(list_sort(list_filter(x, lambda t: not list_contains(y, t))), ' ')) l, trim(c || ' ' || array_to_string(list_sort(list_filter(y, lambda t: not list_contains(x, t))), ' ')) r from (select *, array_to_string(list_sort(list_intersect(x, y)), ' ') c from
+        (select s1_id, match_id, a.ns x, b.ns y, a.name m, b.name n from truth join q a on a.entity_id = s1_id join p b on b.entity_id = match_id))) z"""),
     "failure_categories": sql("flagged", "select kind, flag, count(*) links from flagged group by 1, 2"),
     "failure_examples": sql("flagged", "select kind, flag, s1_id, cand_id, place from (select *, row_number() over (partition by kind, flag order by seq, cand_id) place from flagged) where place <= 2"),
     "rival_diagnostics": sql("best_false fails q p psig common", """select f.s1_id, f.match_id, rival_id, len(list_intersect(a.ns, b.ns)) > 0 and not exists (select 1 from (select unnest(list_intersect(a.ns, b.ns)) x) where x not in (select term from common where field = 'name' and country = a.country)) shares_only_common_name_tokens,

@@ -91,19 +91,18 @@ def _ranks(formula: str):
 
 def topk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Linkage(spark, sf_dir)
-    return _rounded(evaluation.sweep(x.queries, x.truth, scoring.formula_ranks(x.signals), "formula"))
+    return _rounded(evaluation.sweep(x.queries, x.truth, scoring.formula_ranks(x.signals).persist(), "formula", names=tuple(scoring.FORMULAS)))
 
 
 def formula_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Linkage(spark, sf_dir)
-    return evaluation.selection(evaluation.sweep(x.queries, x.truth, scoring.formula_ranks(x.signals), "formula"))
+    return evaluation.selection(evaluation.sweep(x.queries, x.truth, scoring.formula_ranks(x.signals).persist(), "formula", names=tuple(scoring.FORMULAS)))
 
 
 def rank_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Linkage(spark, sf_dir)
-    ranks = scoring.formula_ranks(x.signals)
-    names = ranks.select("formula").distinct()
-    return evaluation.rank_distribution(evaluation.linked_ranks(x.truth.crossJoin(F.broadcast(names)), ranks, "formula"), ["formula"])
+    links = evaluation.each_name(x.truth, "formula", tuple(scoring.FORMULAS))
+    return evaluation.rank_distribution(evaluation.linked_ranks(links, scoring.formula_ranks(x.signals), "formula"), ["formula"])
 
 
 def improved_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +113,9 @@ def address_rescue_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scoring.top_k(Linkage(spark, sf_dir).improved.select("s1_id", "cand_id", "score"), 50))
 
 
+VARIANTS = ("C_weighted", "C_address_rescue", "expanded_address_rescue")
+
+
 def _variants(x: Linkage) -> DataFrame:
     """(variant, s1_id, cand_id, rank): config C by either score, and the expanded candidates."""
     rows = x.improved
@@ -130,14 +132,12 @@ def expansion_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def experiment_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Linkage(spark, sf_dir)
-    return _rounded(evaluation.sweep(x.queries, x.truth, _variants(x), "variant", evaluation.EXPERIMENT_K))
+    return _rounded(evaluation.sweep(x.queries, x.truth, _variants(x).persist(), "variant", evaluation.EXPERIMENT_K, VARIANTS))
 
 
 def experiment_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Linkage(spark, sf_dir)
-    ranks = _variants(x)
-    names = ranks.select("variant").distinct()
-    linked = evaluation.linked_ranks(x.truth.crossJoin(F.broadcast(names)), ranks, "variant")
+    linked = evaluation.linked_ranks(evaluation.each_name(x.truth, "variant", VARIANTS), _variants(x), "variant")
     return evaluation.rank_summary(linked.filter("rank is not null"), ["variant"])
 
 
@@ -198,23 +198,22 @@ def _common(x: Linkage) -> DataFrame:
     return rows.filter(frequency.is_common(F.col("n"), F.col("df"))).select("field", "country", "term")
 
 
-def _flagged(x: Linkage, scripts: bool) -> DataFrame:
+def _flagged(x: Linkage) -> DataFrame:
     failed = _failed(x).select("s1_id", F.col("match_id").alias("cand_id"), "kind")
-    return failures.flags(x.pairs(failed.drop("kind")), _common(x).filter("field = 'name'").select("country", "term"), scripts).join(failed, ["s1_id", "cand_id"])
+    return failures.flags(x.pairs(failed.drop("kind")), _common(x).filter("field = 'name'").select("country", "term")).join(failed, ["s1_id", "cand_id"])
 
 
 def failure_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flagged(Linkage(spark, sf_dir), True)
+    return _flagged(Linkage(spark, sf_dir))
 
 
 def failure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the flags that need no letters' scripts."""
-    return failures.categories(_flagged(Linkage(spark, sf_dir), False))
+    return failures.categories(_flagged(Linkage(spark, sf_dir)))
 
 
 def failure_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Linkage(spark, sf_dir)
-    rows = _flagged(x, False).join(x.queries.select(F.col("entity_id").alias("s1_id"), "seq"), "s1_id")
+    rows = _flagged(x).join(x.queries.select(F.col("entity_id").alias("s1_id"), "seq"), "s1_id")
     return failures.examples(rows).select("kind", "flag", "s1_id", "cand_id", F.col("place").cast("long").alias("place"))
 
 

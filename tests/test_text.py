@@ -49,11 +49,11 @@ def test_tokens(spark):
 
 
 def test_scripts():
-    assert tx.letter_scripts("École 25") == (["LATIN"], "LATIN")
-    assert tx.letter_scripts("राम") == (["DEVANAGARI"], "DEVANAGARI")
-    assert tx.letter_scripts("123 !") == ([], None)
-    assert tx.letter_scripts("漢字a") == (["HAN", "LATIN"], "HAN")
-    assert tx.letter_scripts("aб") == (["CYRILLIC", "LATIN"], "CYRILLIC")
+    assert tx.letter_scripts(["École 25"]) == [(["LATIN"], "LATIN")]
+    assert tx.letter_scripts(["राम"]) == [(["DEVANAGARI"], "DEVANAGARI")]
+    assert tx.letter_scripts(["123 !"]) == [([], None)]
+    assert tx.letter_scripts(["漢字a"]) == [(["HAN", "LATIN"], "HAN")]
+    assert tx.letter_scripts(["aб"]) == [(["CYRILLIC", "LATIN"], "CYRILLIC")]
 
 
 @pytest.mark.parametrize("a,b,k", [("abcd", "abxd", 2), ("ab", "abc", 2), ("", "a", 0), ("abcde", "abcdf", 4), ("xb", "ab", 0)])
