@@ -320,4 +320,18 @@ ORACLES: dict[str, str] = {
     "row_range_sample": sql("q", "select entity_id from (select entity_id, row_number() over (order by seq, entity_id) k from q) where k between 21 and 60"),
     "result_lists": sql("q truth", "select entity_id s1_id, coalesce(string_agg(match_id, ',' order by match_id), '') ids from q left join truth on s1_id = entity_id group by 1"),
 }
+ORACLES |= {
+    "tsv_records": sql("rec", "select entity_id, name, address, country, src, seq from rec"),
+    "truth_links": sql("truth", "select s1_id, match_id from truth"),
+    "sample_cache": sql("q p truth", "select 'query' part, entity_id, name as value from q union all select 'pool', entity_id, address from p union all select 'truth', s1_id, match_id from truth"),
+    "frequency_snapshot": sql("terms docs", "select field, country, term, df, n from terms join docs using (country)"),
+    "pair_file": sql("c", "select s1_id source1_entity_id, cand_id candidate_entity_id, split_part(cand_id, '-', 1) candidate_source from c"),
+    "feature_file": sql("feat", "select s1_id, cand_id, name_exact, label, split from feat"),
+    "split_manifest": sql("split", "select s1_id source1_entity_id, split from split"),
+    "id_list": sql("p", "select entity_id from p"),
+    "failure_file": sql("fails", "select s1_id, match_id, rank, kind from fails"),
+    "validator_rows": sql("vg", "select count(*) row_count, count(*) filter (where len(ids) = 0) empty_rows, count(*) filter (where len(ids) > 0) filled_rows from vg"),
+    "matches_outside_candidates": sql("lines", """, n as (select row_number() over (order by line, value) line, value from lines), g as (select line, substr(value, 1, instr(value, chr(9)) - 1) s1_id, case when trim(substr(value, instr(value, chr(9)) + 1)) = '' then []::varchar[] else string_split(substr(value, instr(value, chr(9)) + 1), ',') end ids from n where line > 1 and instr(value, chr(9)) > 0),
+      e as (select line, s1_id, unnest(ids) id from g) select distinct s1_id, id from e where not exists (select 1 from e c where c.line % 5 <> 0 and c.s1_id = e.s1_id and c.id = e.id)"""),
+}
 ORACLES["best_configuration"] = sql("hits q truth", "") + _evaluate("config", _abc).replace("select cs.*,", ", ev as (select cs.*,", 1).replace("from cs join ls using (config)", "from cs join ls using (config)) select config, total_pairs from ev order by overall_recall desc, average_candidates, config limit 1")

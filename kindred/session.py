@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +27,17 @@ def session(name: str = "kindred", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share, spark.checkpoint.dir; a local session without one gets a
+    folder of its own. What is there stays until the caller removes it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="kindred-")
+    return f"{folder.rstrip('/')}/kindred-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors' Python, once for each context, unless PYTHONPATH already leads them to it."""
     package = Path(__file__).resolve().parent

@@ -257,3 +257,12 @@ def test_listing_and_reproduction(spark):
     with pytest.raises(ValueError):
         evaluation.assert_reproduced(metrics, {"total_pairs": 4})
     assert len(features.schema_descriptor()["features"]) == 25 and len(features.schema_descriptor(True)["features"]) == 27
+
+
+def test_a_pair_of_an_entity_without_truth_is_an_error(spark):
+    rows = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S2-1")], "s1_id string, cand_id string")
+    truth = spark.createDataFrame([("S1-1", "S2-1")], "s1_id string, match_id string")
+    of = lambda *ids: spark.createDataFrame([(i,) for i in ids], "s1_id string")
+    assert {(r.s1_id, r.label) for r in features.labelled(rows, truth, of("S1-1", "S1-2")).collect()} == {("S1-1", 1), ("S1-2", 0)}
+    with pytest.raises(Exception, match="lacks the entity S1-2"):
+        features.labelled(rows, truth, of("S1-1")).collect()

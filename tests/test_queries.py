@@ -7,8 +7,11 @@ import os
 import duckdb
 import pytest
 
+from kindred.plans.files import FILE_QUERIES
 from kindred.plans.oracles import ORACLES
-from kindred.plans.queries import QUERIES
+from kindred.plans.queries import QUERIES as LINKAGE_QUERIES
+
+QUERIES = LINKAGE_QUERIES | FILE_QUERIES
 
 
 @pytest.fixture(scope="module")
