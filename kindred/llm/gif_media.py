@@ -1,8 +1,9 @@
 """GIF media columns: LZW code streams decoded, palettes, interlace, transparency and disposal applied, and
 timed frames stored with colour-histogram columns. A lossless writer makes the animations read back.
 
-A null medium gives no frames; one that cannot be read gives a single row with ``error`` set and ``frame``
-null; rows are handled one by one, so that repeated rows repeat and an empty table stays empty.
+A null medium gives no frames; one that cannot be read, or whose canvas or an image has more than MOST_PIXELS, gives a row
+with ``error`` set and ``frame`` null after the frames that could be read; frames leave a task one by one; rows are
+handled one by one, so that repeated rows repeat and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 
 # Fixed values of the format and of the payload's layout.
 MOST_CODES = 4096
@@ -26,6 +27,8 @@ BLOCK = 576
 ROWS = 64
 DELAY_CS = 4
 HIST_BINS = 64
+#: Pixels of a canvas or an image at most: a header of a few bytes may ask for gigabytes.
+MOST_PIXELS = 1 << 24
 
 
 def _widths(first: int, count: int, bits: int) -> np.ndarray:
@@ -164,6 +167,8 @@ def decode(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError("the canvas is too large")
     shared, at = _palette(data, 13, flags)
     canvas = np.zeros((height, width, 4), np.uint8)
     delay, disposal, clear_index = 0, 0, -1
@@ -178,11 +183,15 @@ def decode(data: bytes) -> Iterator[Frame]:
         if data[at] != 0x2C:
             raise ValueError("an unknown block")
         left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > MOST_PIXELS:
+            raise ValueError("an image is too large")
         own, at = _palette(data, at + 10, packed)
         palette = own if own is not None else shared
         if palette is None:
             raise ValueError("an image has no palette")
         bits = data[at]
+        if not 1 <= bits <= 8:
+            raise ValueError("a code size is out of range")
         stream, at = _blocks(data, at + 1)
         indices = np.frombuffer(lzw_decode(stream, bits, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         if packed & 0x40:  # interlaced: rows come in four passes
@@ -250,15 +259,14 @@ def frames(media: DataFrame, id_col: str, media_col: str, pixels: bool = True) -
             yield (key, None, start, *[None] * 8, str(e) or "cut off")
 
     def run(batches):
+        names = [id_col, *(c.split()[0] for c in FRAMES.split(", "))]
         for b in batches:
+            types = [b.schema.types[0], pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.list_(pa.int64()), pa.binary(), pa.string()]
             for key, data in zip(b.column(0).to_pylist(), b.column(1)):
-                held = list(rows(key, data.as_py()))
-                if held:
-                    names = [id_col, *(c.split()[0] for c in FRAMES.split(", "))]
-                    types = [b.schema.types[0], pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.list_(pa.int64()), pa.binary(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held), types)], names)
+                for row in rows(key, data.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types)], names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 STORED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -58,6 +58,26 @@ def test_frames_table(spark):
     assert sum(rows[0].histogram) == 4 and len(rows[0].histogram) == 64 and len(rows[0].rgba) == 16
 
 
+def test_hostile_headers_are_errors(spark):
+    bomb = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x81, 0, 0) + HEAD[13:] + image(0, 0, 2, 2, [0, 1, 2, 3]) + b"\x3b"
+    inner = HEAD + control(1) + image(0, 0, 2, 2, [0, 1, 2, 3]) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + block(bytes([0]), 2) + b"\x3b"
+    code = HEAD + b"\x2c" + struct.pack("<HHHHB", 0, 0, 2, 2, 0) + bytes((200, 0)) + b"\x3b"
+    rows = g.frames(spark.createDataFrame([(1, bomb), (2, inner), (3, code)], "id long, m binary"), "id", "m").collect()
+    assert sorted((r.id, r.frame is None, r.error is not None) for r in rows) == [(1, True, True), (2, False, False), (2, True, True), (3, True, True)]
+
+
+def test_a_medium_of_another_writer():
+    """A 3 x 2 image written by hand, code by code: clear, 1, 1, 6 (the run just made), 2, stop."""
+    codes, bits, n = [(4, 3), (1, 3), (1, 3), (6, 3), (2, 4), (5, 4)], 0, 0
+    for value, width in codes:
+        bits |= value << n
+        n += width
+    stream = bits.to_bytes((n + 7) // 8, "little")
+    data = b"GIF87a" + struct.pack("<HHBBB", 3, 2, 0x81, 0, 0) + HEAD[13:] + b"\x2c" + struct.pack("<HHHHB", 0, 0, 3, 2, 0) + bytes((2, len(stream))) + stream + b"\0\x3b"
+    (frame,) = g.decode(data)
+    assert frame.canvas[:, :, 0].tolist() == [[20, 20, 20], [20, 30, 10]]
+
+
 def test_texts_come_back(docs):
     long = "grün " * 30_000
     rows = g.text_media(docs((1, None), (2, ""), (3, "x" * 576), (3, "x" * 576), (4, long))).collect()
