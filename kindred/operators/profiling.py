@@ -61,14 +61,20 @@ def text_statistics(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
 
 
 def drift(train: DataFrame, test: DataFrame, by: str = "src") -> DataFrame:
-    """A row for each source: sizes, missing names and lengths on both sides, and countries that only the test side has."""
+    """A row for each source: sizes, shares of missing names and addresses and mean lengths of the others on both sides, and
+    countries that only the test side has."""
+    measures = [f"{p}_{c}_{m}" for c in ("name", "address") for m in ("length", "missing") for p in ("train", "test")]
 
     def side(rows: DataFrame, p: str) -> DataFrame:
-        return rows.groupBy(by).agg(F.count(F.lit(1)).alias(f"{p}_rows"), F.avg(F.length("business_name")).alias(f"{p}_name_length"), (100.0 * F.count_if(F.col("business_address") == "") / F.count(F.lit(1))).alias(f"{p}_address_missing"), F.collect_set("country").alias(f"{p}_countries"))
+        total, own = F.count(F.lit(1)), []
+        for c in ("name", "address"):
+            text = F.trim(F.coalesce(F.col(f"business_{c}"), F.lit("")))
+            own += [F.avg(F.length(F.when(text != "", text))).alias(f"{p}_{c}_length"), (100.0 * F.count_if(text == "") / total).alias(f"{p}_{c}_missing")]
+        return rows.groupBy(by).agg(total.alias(f"{p}_rows"), *own, F.collect_set("country").alias(f"{p}_countries"))
 
     both = side(train, "train").join(side(test, "test"), by, "full")
     unseen = F.array_join(F.array_sort(F.array_except(F.coalesce("test_countries", F.array().cast("array<string>")), F.coalesce("train_countries", F.array().cast("array<string>")))), ",")
-    return both.select(by, "train_rows", "test_rows", "train_name_length", "test_name_length", "train_address_missing", "test_address_missing", F.size("train_countries").cast("long").alias("train_country_count"), F.size("test_countries").cast("long").alias("test_country_count"), unseen.alias("unseen_countries"))
+    return both.select(by, "train_rows", "test_rows", *measures, F.size("train_countries").cast("long").alias("train_country_count"), F.size("test_countries").cast("long").alias("test_country_count"), unseen.alias("unseen_countries"))
 
 
 def examples(lists: DataFrame, truth: DataFrame, entities: DataFrame, pool: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:

@@ -1,17 +1,25 @@
 """The validator of results files: raw tab-separated lines, checked as they stand.
 
 Lines are not unquoted and ids in lists are not trimmed; the header is line 1; blank rows are ignored; of rows that repeat an
-entity the last one counts."""
+entity the last one counts. ``python -m kindred.operators.validation --help`` tells the command line."""
 
 from __future__ import annotations
 
+import argparse
+import sys
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import session
+from ..sources.records import read_tsv
+
+# The headers of the two files and the names of the sources' files.
 MATCHING, CANDIDATES = ("source1_entity_id", "matched_entity_ids"), ("source1_entity_id", "candidate_entity_ids")
+SOURCES = ("test_source1.tsv", "test_source2.tsv", "test_source3.tsv")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -98,17 +106,30 @@ class Verdict:
         return int(bool(self.errors))
 
 
+def _reason(e: PySparkException) -> str:
+    return str(e).strip().splitlines()[0]
+
+
+def _absent(e: PySparkException) -> bool:
+    return isinstance(e, AnalysisException) and e.getCondition() == "PATH_NOT_FOUND"
+
+
 def validate(spark: SparkSession, matching: str, candidates: str | None, required: DataFrame, known: DataFrame | None = None) -> Verdict:
-    """Both results files checked; what cannot be read is an error with its reason."""
+    """Both results files checked. A file that cannot be read or is not UTF-8 is an error with its reason; that there is no
+    file of candidates is a warning."""
     errors, warnings, lists = [], [], {}
     for path, expected in ((matching, MATCHING), (candidates, CANDIDATES)):
         if path is None:
             continue
         try:
             lines = text_lines(spark, path)
+            broken = lines.agg(F.min(F.when(~F.is_valid_utf8("value"), F.col("line")))).first()[0]
             first = lines.filter("line = 1").first()
-        except Exception as e:  # a missing or unreadable file is a finding
-            errors.append(f"{path}: {str(e).splitlines()[0]}")
+        except PySparkException as e:
+            (warnings if _absent(e) and expected == CANDIDATES else errors).append(f"{path}: {_reason(e)}")
+            continue
+        if broken is not None:
+            errors.append(f"{path}: line {broken} is not UTF-8; save the file as plain tab-separated text in UTF-8")
             continue
         if problem := header_error(first.value if first else None, expected):
             errors.append(f"{path}: {problem}")
@@ -122,3 +143,44 @@ def validate(spark: SparkSession, matching: str, candidates: str | None, require
     if known is None:
         warnings.append("ids were not checked for existence")
     return Verdict(errors, warnings)
+
+
+def checked_folder(spark: SparkSession, matching: str, candidates: str | None, folder: str, check_ids: bool = False) -> Verdict:
+    """:func:`validate` against the sources of ``folder``. Without its first source nothing can be checked, an error; without
+    one of the others ids are not checked for existence, a warning."""
+    one, *others = (f"{folder.rstrip('/')}/{name}" for name in SOURCES)
+    try:
+        required = read_tsv(spark, one).select("entity_id")
+        if required.isEmpty():
+            return Verdict([f"{one}: no entities"], [])
+    except PySparkException as e:
+        return Verdict([f"{one}: {_reason(e)}"], [])
+    known, missing = None, []
+    for path in others if check_ids else ():
+        try:
+            ids = read_tsv(spark, path).select("entity_id")
+            known = ids if known is None else known.unionByName(ids)
+        except PySparkException as e:
+            missing.append(f"{path}: {_reason(e)}")
+    got = validate(spark, matching, candidates, required, None if missing else known)
+    return Verdict(got.errors, missing + got.warnings)
+
+
+def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """The command line: findings are printed; 0 where there is no error, else 1."""
+    parser = argparse.ArgumentParser(description="Check results files against the sources.")
+    parser.add_argument("-m", "--matching", default="output/matching_results.tsv")
+    parser.add_argument("-c", "--candidate", default="output/candidate_pairs.tsv")
+    parser.add_argument("-t", "--test-dir", default="dataset/test", help="folder of " + ", ".join(SOURCES))
+    parser.add_argument("--check-ids", action="store_true", help="ids must be in the second or third source")
+    given = parser.parse_args(arguments)
+    verdict = checked_folder(spark or session("kindred-validation"), given.matching, given.candidate, given.test_dir, given.check_ids)
+    for kind, texts in (("warning", verdict.warnings), ("error", verdict.errors)):
+        for text in texts:
+            print(f"{kind}: {text}")
+    print(f"{len(verdict.errors)} errors")
+    return verdict.exit_code
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -248,6 +248,13 @@ select feature, {pm}, {nm}, {gap}, case when positive_mean > negative_mean then
     pm=_r("positive_mean", "positive_mean"), nm=_r("negative_mean", "negative_mean"), gap=_r("abs(positive_mean - negative_mean) / greatest(sqrt((ps * ps + ns_ * ns_) / 2), 1e-12::double)", "standardized_mean_gap")
 )
 
+_DRIFT = {f"{c}_{m}": of.format(f"coalesce(trim(business_{c}), '')") for c in ("name", "address") for m, of in (("length", "avg(length(nullif({}, '')))"), ("missing", "100.0::double * count(*) filter (where {} = '') / count(*)"))}
+
+
+def _drift(side: str) -> str:
+    return ", ".join(f"{of} {side}_{m}" for m, of in _DRIFT.items())
+
+
 ORACLES: dict[str, str] = {
     "normalize_records": sql("rec", "select entity_id, name, address, country, src, seq from rec"),
     "blocking_keys": sql("keys", "select * from keys"),
@@ -310,8 +317,8 @@ ORACLES: dict[str, str] = {
     "text_stats": sql("rec", f", s as (select src, nullif(trim(business_address), '') x from rec) select src, count(*) row_count, {_r('100.0::double * count(*) filter (where x is null) / count(*)', 'missing_percent')}, {_r('avg(length(x))', 'mean_length')}, {_r('median(length(x))::double', 'median_length')}, count(distinct x) unique_values, count(x) - count(distinct x) exact_duplicates from s group by 1"),
     "value_counts": sql("rec", "select src, country, count(*) row_count from rec group by 1, 2"),
     "train_test_drift": sql("rec", f""", a as (select * from rec where (seq // 10) % 2 = 0), z as (select * from rec where (seq // 10) % 2 = 1)
-      select src, train_rows, test_rows, {_r('train_l', 'train_name_length')}, {_r('test_l', 'test_name_length')}, {_r('train_m', 'train_address_missing')}, {_r('test_m', 'test_address_missing')}, len(train_c)::bigint train_country_count, len(test_c)::bigint test_country_count, array_to_string(list_sort(list_filter(test_c, lambda x: not list_contains(train_c, x))), ',') unseen_countries from
-      (select src, count(*) train_rows, avg(length(business_name)) train_l, 100.0::double * count(*) filter (where business_address = '') / count(*) train_m, list(distinct country) train_c from a group by 1) join (select src, count(*) test_rows, avg(length(business_name)) test_l, 100.0::double * count(*) filter (where business_address = '') / count(*) test_m, list(distinct country) test_c from z group by 1) using (src)"""),
+      select src, train_rows, test_rows, {", ".join(_r(f"{p}_{m}", f"{p}_{m}") for p in ("train", "test") for m in _DRIFT)}, len(train_c)::bigint train_country_count, len(test_c)::bigint test_country_count, array_to_string(list_sort(list_filter(test_c, lambda x: not list_contains(train_c, x))), ',') unseen_countries from
+      (select src, count(*) train_rows, {_drift("train")}, list(distinct country) train_c from a group by 1) join (select src, count(*) test_rows, {_drift("test")}, list(distinct country) test_c from z group by 1) using (src)"""),
     "record_examples": sql("lists q p truth", """, k as (select *, row_number() over (partition by kind order by seq, s1_id) place from (select case when n = 0 then 'none' when n = 1 then 'one' else 'two' end kind, s1_id, business_name s1_name, seq from lists join q on entity_id = s1_id))
       select p.entity_id match_id, k.s1_id, kind, s1_name, p.business_name match_name from k left join truth on truth.s1_id = k.s1_id left join p on p.entity_id = match_id where place <= case kind when 'two' then 3 else 10 end"""),
     "validator_findings": sql("vf", ", o as (select *, row_number() over (partition by rule order by who) k from vf) select rule, count(*) offenders, string_agg(who, ', ' order by who) filter (where k <= 5) as first from o group by 1"),

@@ -37,3 +37,29 @@ def test_missing_file_and_candidates(spark, tmp_path):
     c.write_text("source1_entity_id\tcandidate_entity_ids\nS1-1\tS2-1\n")
     got = v.validate(spark, str(m), str(c), ids)
     assert not got.errors and any("1 matches" in w for w in got.warnings)
+
+
+def test_what_is_not_utf8_and_what_is_not_there(spark, tmp_path):
+    ids = spark.createDataFrame([("S1-1",)], "entity_id string")
+    m = tmp_path / "m.tsv"
+    m.write_bytes(HEAD.encode() + "S1-1\tS2-é\n".encode("latin-1"))
+    assert any("line 2 is not UTF-8" in e for e in v.validate(spark, str(m), None, ids).errors)
+    m.write_text(HEAD + "S1-1\tS2-\ufffd\n", encoding="utf-8")
+    got = v.validate(spark, str(m), str(tmp_path / "none.tsv"), ids)
+    assert not got.errors and any("none.tsv" in w for w in got.warnings)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    m = tmp_path / "m.tsv"
+    m.write_text(HEAD + "S1-1\tS2-9\n")
+    run = lambda *more: (v.main(["-m", str(m), "-c", str(tmp_path / "c.tsv"), "-t", str(tmp_path), *more], spark), capsys.readouterr().out)
+    code, said = run()
+    assert code == 1 and "test_source1.tsv" in said
+    head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    (tmp_path / "test_source1.tsv").write_text(head + "S1-1\ta\tb\tX\n")
+    (tmp_path / "test_source2.tsv").write_text(head + "S2-1\ta\tb\tX\n")
+    code, said = run("--check-ids")
+    assert code == 0 and "test_source3.tsv" in said and "not checked for existence" in said
+    (tmp_path / "test_source3.tsv").write_text(head + "S3-1\ta\tb\tX\n")
+    code, said = run("--check-ids")
+    assert code == 1 and "unknown_id: 1 (S2-9)" in said
