@@ -85,3 +85,34 @@ def test_prefixes_and_words_share_one_key(spark):
     pairs = {(r.s1_id, r.cand_id) for r in blocking.candidates(q, p).collect()}
     assert pairs == {("S1-1", "S2-1"), ("S1-2", "S2-2"), ("S1-3", "S2-3")}
     assert {r.s1_id: (r.A, r.B, r.C) for r in cells.counts(q, p).collect()} == {"S1-1": (1, 1, 1), "S1-2": (0, 0, 1), "S1-3": (0, 1, 1)}
+
+
+def test_base_counts_need_no_cells(linkage, monkeypatch):
+    x, asked = linkage, []
+    plain = cells._run
+    monkeypatch.setattr(cells, "_run", lambda *a, **k: asked.append(a[2].rules) or plain(*a, **k))
+    cells.counts(x.queries, x.pool)
+    cells.counts(*x.sides(x.records), expanded=True)
+    assert asked == ["tag"]
+
+
+def test_a_record_that_shares_several_numbers_counts_once(spark):
+    from tests.test_linkage import made
+
+    q = made(spark, ("S1-1", "one a", "7 8 9", "X"), ("S1-2", "", "8", "X"), ("S1-3", "one b", "", "X"), ("S1-4", "none", "1", "X"))
+    p = made(spark, ("S2-1", "one c", "9 8 7", "X"), ("S2-2", "onen", "7 9", "X"), ("S2-3", "else", "8 9", "X"), ("S2-4", "", "7", "X"), ("S2-5", "one", "7", "Y"), ("S2-6", "one", "", "X"))
+    want = {r.s1_id: (r.A, r.B, r.C) for r in blocking.candidates_by_config(q, p).groupBy("s1_id").agg(F.count_if("a").alias("A"), F.count_if("b").alias("B"), F.count(F.lit(1)).alias("C")).collect()}
+    assert want == {"S1-1": (2, 5, 5), "S1-2": (0, 2, 2), "S1-3": (2, 2, 2)}
+    assert {r.s1_id: (r.A, r.B, r.C) for r in cells.counts(q, p).collect()} == want
+
+
+def test_links_read_the_records_once_for_each_side(linkage):
+    """No exchange of the records by id beside the join that makes the links."""
+    rows = linkage.linked(linkage.tokens)
+    want = linkage.pairs(linkage.truth.withColumnRenamed("match_id", "cand_id"))
+    assert rows_of(rows, "match_id") == rows_of(want, "cand_id")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def rows_of(df, match):
+    return rows(df, "s1_id", match, "a_name", "b_name", "a_address_numbers", "b_name_bigrams")
