@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import blocking, cells, evaluation, scoring
+from kindred.operators import blocking, cells, evaluation, frequency, scoring
 from kindred.plans.fixture import Linkage
 
 
@@ -106,6 +106,33 @@ def test_a_record_that_shares_several_numbers_counts_once(spark):
     assert {r.s1_id: (r.A, r.B, r.C) for r in cells.counts(q, p).collect()} == want
 
 
+def test_cells_get_what_their_rule_reads(linkage):
+    """Weights go with queries alone, rare terms to the rules that ask for them, and no row to a cell where it can have no pair."""
+    x = linkage
+    sent = cells._cells(*x.sides(x.weights), cells.Spec("pairs", "improved", cells.ALL), None).persist()
+    assert {r.rule for r in sent.select("rule").distinct().collect()} == set(cells.ALL)
+    weights = ("name_w", "w", "is_number", "distinctive", "most")
+    assert not sent.filter("side = 1").filter(" or ".join(f"{c} is not null" for c in weights)).count()
+    assert not sent.filter("side = 0").filter(" or ".join(f"{c} is null" for c in weights)).count()
+    for column, rules in (("numbers", "ntag"), ("rare_names", "tag"), ("rare_words", "ag"), ("rare_grams", "g")):
+        assert {r.rule for r in sent.filter(f"{column} is not null").select("rule").distinct().collect()} == set(rules)
+    for rule, column in (("a", "rare_words"), ("g", "rare_grams")):
+        assert not sent.filter((F.col("rule") == rule) & (F.col("value") == F.element_at(F.split(column, " "), -1))).count()
+    assert not {t for c, t in sent.dtypes if t == "array<string>"}
+    sent.unpersist()
+
+
+def test_pairs_of_the_last_two_terms_stay(spark):
+    from tests.test_linkage import made
+
+    q = made(spark, ("S1-1", "one", "b y z", "X"), ("S1-2", "abcdef", "", "X"), ("S1-3", "two", "z", "X"))
+    p = made(spark, ("S2-1", "other", "a y z", "X"), ("S2-2", "xbcdex", "c z", "X"), ("S2-3", "three", "y z", "X"))
+    terms = frequency.term_counts(p)
+    left, right = (cells.with_rarity(df, cells.rarity(q, p, terms)) for df in (q, p))
+    columns = ("s1_id", "cand_id", "in_c", "in_tokens", "in_ngrams")
+    assert rows(cells.expanded_pairs(left, right), *columns) == rows(blocking.expanded(q, p, terms), *columns) == [("S1-1", "S2-1", False, True, False), ("S1-1", "S2-3", False, True, False), ("S1-2", "S2-2", False, False, True)]
+
+
 def test_links_read_the_records_once_for_each_side(linkage):
     """No exchange of the records by id beside the join that makes the links."""
     rows = linkage.linked(linkage.tokens)
